@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.llm.exact_dedup import exact_dedup
+from sketchloom.llm.mixing import mix_plan
 from sketchloom.llm.shared import read_table
 
 
@@ -23,8 +24,14 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(read_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_mix_sources": op4_mix_sources,
 }
 _ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
 
