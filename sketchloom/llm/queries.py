@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm.exact_dedup import exact_dedup
 from sketchloom.llm.mixing import mix_plan
+from sketchloom.llm.secrets import BASE_KINDS, KINDS, listed, secret_scan
 from sketchloom.llm.shared import read_table
 
 
@@ -29,11 +30,61 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(read_table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["kind_order"] < BASE_KINDS)
+
+    def number(test):
+        return F.size(F.filter("spans", test)).cast("long")
+
+    return found.select(
+        "doc_id",
+        number(lambda x: x["kind_order"] == 0).alias("n_assign"),
+        number(lambda x: x["kind_order"] == 1).alias("n_access"),
+        number(lambda x: x["kind_order"] == 2).alias("n_hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+        number(lambda x: x["verdict"] == "example").alias("n_example"),
+        number(lambda x: x["verdict"] == "live").alias("n_live"),
+    )
+
+
+def _op9_sql() -> str:
+    parts = []
+    for order, (_, pattern, group, least) in enumerate(KINDS):
+        p = pattern.replace("'", "''")
+        parts.append(f"""
+        SELECT rid, doc_id, source, {order} AS o, unnest(range(1, len(m) + 1)) AS i, m, v, g, {least} AS least
+        FROM (SELECT rid, doc_id, source, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {group}) AS v,
+                     string_split_regex(t, '{p}') AS g FROM d)""")
+    names = "[" + ", ".join(f"'{k[0]}'" for k in KINDS) + "]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+raw AS ({" UNION ALL ".join(parts)}),
+pos AS (SELECT rid, source, o, v[i] AS value, length(m[i]) AS n,
+               coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS s
+        FROM raw WHERE length(v[i]) >= least),
+freq AS (SELECT value, count(DISTINCT source) AS owners FROM pos GROUP BY value),
+span AS (SELECT rid, o, s, {names}[o + 1] || ':' || s || ':' || (s + n) AS line, owners,
+                length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 8 AS looks_live
+         FROM pos JOIN freq USING (value)),
+agg AS (SELECT rid, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+               string_agg(line, ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(line, ',' ORDER BY s, o) AS spans,
+               count(*) FILTER (owners >= 3) AS n_example, count(*) FILTER (owners < 3 AND looks_live) AS n_live
+        FROM span GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example,
+       coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN agg USING (rid)
+"""
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op9_secret_scan": op9_secret_scan,
 }
-_ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+_ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op9_secret_scan": _op9_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
