@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm.exact_dedup import exact_dedup
 from sketchloom.llm.mixing import mix_plan
+from sketchloom.llm.quality import quality_verdicts
 from sketchloom.llm.secrets import BASE_KINDS, KINDS, listed, secret_scan
 from sketchloom.llm.shared import read_table
 
@@ -79,10 +80,15 @@ FROM d LEFT JOIN agg USING (rid)
 """
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op9_secret_scan": op9_secret_scan,
+    "op10_quality_rules": op10_quality_rules,
 }
 _ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op9_secret_scan": _op9_sql()}
 
