@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm.exact_dedup import exact_dedup
 from sketchloom.llm.mixing import mix_plan
+from sketchloom.llm.near_dedup import simhash_groups
 from sketchloom.llm.quality import quality_verdicts
 from sketchloom.llm.secrets import BASE_KINDS, KINDS, listed, secret_scan
 from sketchloom.llm.shared import read_table
@@ -26,6 +27,12 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(read_table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -86,6 +93,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
