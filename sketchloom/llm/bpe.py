@@ -23,6 +23,9 @@ WINDOW = 8
 MEMORY_WORDS = 1 << 17
 #: Bytes of text that are taken at once.
 SLICE_BYTES = 1 << 20
+# The pre-tokenizer's pattern for which words may be taken apart, and the marks that are.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+MARKS = b".,!?;:*$%#&"
 
 
 class WordEncoder:
@@ -52,6 +55,16 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        # What _parts may assume: lower case and Unicode composition, letters apart from other characters.
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = [p["type"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and cut == ["Split", "ByteLevel"]
+            and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex") == LETTER_RUNS
+            and all(t.startswith("<|") for t in self.added)
+        )
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed as ``dtype``."""
@@ -70,17 +83,49 @@ class WordEncoder:
         return [b"".join([young[w] for w in words]) for words in split]
 
     def _learn(self, words: list[bytes]) -> None:
-        short = [w for w in words if len(w) < LONG_BYTES]
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in short], add_special_tokens=False)
+        """Remember the ids of words. Words share what they are made of: most are letters and a few marks."""
+        split = [self._parts(w) if self.plain else (w,) for w in words]
+        pieces = self.pieces
+        missing = [p for p in set().union(*split).difference(pieces)]
+        if len(pieces) + len(missing) > MEMORY_WORDS:
+            kept = set().union(*split)
+            self.pieces = pieces = {p: pieces[p] for p in kept if p in pieces}
+        letters = [p for p in missing if self.plain and p.isalpha() and p.islower() and len(p) < LONG_BYTES]
+        done = set(letters)
+        self._store(letters, self.ending.encode_batch_fast([p.decode() for p in letters], add_special_tokens=False))
+        short = [p for p in missing if p not in done and len(p) < LONG_BYTES]
+        texts = [p.decode("utf-8", "replace") for p in short]
+        self._store(short, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        for p in missing:
+            if len(p) >= LONG_BYTES:
+                pieces[p] = np.array(self.encode_long(p.decode("utf-8", "replace")), self.dtype).tobytes()
+        for w, parts in zip(words, split):
+            self.young[w] = pieces[parts[0]] if len(parts) == 1 else pieces[parts[0]] + pieces[parts[1]]
+
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        """A word as pieces whose ids, one after the other, are its own.
+
+        Marks after a last ASCII letter or digit are a piece of their own, and ASCII letters may be written
+        small where no other character is near and no special token can be meant.
+        """
+        if b"<" in word:
+            return (word,)
+        core = word.rstrip(MARKS)
+        if not core or not core[-1:].isalnum():
+            core = word
+        tail = word[len(core) :]
+        if core.isascii():
+            core = core.lower()
+        return (core, tail) if tail else (core,)
+
+    def _store(self, pieces: list[bytes], got: list) -> None:
         counts = np.fromiter((len(e) for e in got), np.int64, len(got))
         flat = np.fromiter((i for e in got for i in e.ids), self.dtype, int(counts.sum())).tobytes()
         at = 0
-        for w, n in zip(short, (counts * self.dtype.itemsize).tolist()):
-            self.young[w] = flat[at : at + n]
+        for p, n in zip(pieces, (counts * self.dtype.itemsize).tolist()):
+            self.pieces[p] = flat[at : at + n]
             at += n
-        for w in words:
-            if len(w) >= LONG_BYTES:
-                self.young[w] = np.array(self.encode_long(w.decode("utf-8", "replace")), self.dtype).tobytes()
 
     def encode_long(self, text: str) -> list[int]:
         """Ids of a text whose pieces may be very long."""
