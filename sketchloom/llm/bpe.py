@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,27 +16,47 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from sketchloom.llm.wordspan import slices
+from sketchloom.llm.wordspan import Words, slices, span_hashes
 
 #: A word of so many bytes or more is split into halves, quarters and so on down to pieces below it.
 LONG_BYTES = 2048
 #: Tokens on each side of a join in the first window.
 WINDOW = 8
-#: Words that each of the two generations of a worker's memory holds at most.
-MEMORY_WORDS = 1 << 17
+#: Pieces that each of the two generations of a worker's memory holds at most, but for those of one slice.
+MEMORY_PIECES = 1 << 19
 #: Bytes of text that are taken at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 2 << 20
 # The pre-tokenizer's pattern for which words may be taken apart, and the marks that are.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = b".,!?;:*$%#&"
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MARK = np.isin(np.arange(256), list(MARKS))
+_ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
+
+
+@contextmanager
+def _threads(setting: str) -> Iterator[None]:
+    """Whether the library encodes a batch in several threads; it reads this variable at each call."""
+    name = "TOKENIZERS_PARALLELISM"
+    before = os.environ.get(name)
+    os.environ[name] = setting
+    try:
+        yield
+    finally:
+        if before is None:
+            del os.environ[name]
+        else:
+            os.environ[name] = before
+
 
 class WordEncoder:
     """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False).ids``.
 
     The tokenizer's pre-tokenizer drops white space and no normalizer joins characters across it, so a text's
     ids are those of its words (separated by ASCII white space), one after the other. Each distinct word is
-    encoded once while it is remembered; the memory holds a bounded number of words in two generations.
+    encoded once while it is remembered; the memory holds a bounded number of pieces in two generations.
     """
 
     def __init__(self, path: str):
@@ -55,8 +78,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
-        # What _parts may assume: lower case and Unicode composition, letters apart from other characters.
+        # What _pieces may assume: lower case and Unicode composition, letters apart from other characters.
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         cut = [p["type"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.plain = (
@@ -66,66 +88,88 @@ class WordEncoder:
             and all(t.startswith("<|") for t in self.added)
         )
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, packed as ``dtype``."""
-        split = [t.split() for t in texts]
-        young, old = self.young, self.old
-        fresh = set().union(*split).difference(young)
-        if len(young) + len(fresh) > MEMORY_WORDS:
-            # Words of this call stay at hand; the rest of the memory grows old, what was old is forgotten.
-            self.old, old = young, young
-            self.young = young = {}
-            fresh = set().union(*split)
-        for w in [w for w in fresh if w in old]:
-            young[w] = old[w]
-            fresh.discard(w)
-        self._learn(list(fresh))
-        return [b"".join([young[w] for w in words]) for words in split]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Remember the ids of words. Words share what they are made of: most are letters and a few marks."""
-        split = [self._parts(w) if self.plain else (w,) for w in words]
-        pieces = self.pieces
-        missing = [p for p in set().union(*split).difference(pieces)]
-        if len(pieces) + len(missing) > MEMORY_WORDS:
-            kept = set().union(*split)
-            self.pieces = pieces = {p: pieces[p] for p in kept if p in pieces}
-        letters = [p for p in missing if self.plain and p.isalpha() and p.islower() and len(p) < LONG_BYTES]
-        done = set(letters)
-        self._store(letters, self.ending.encode_batch_fast([p.decode() for p in letters], add_special_tokens=False))
-        short = [p for p in missing if p not in done and len(p) < LONG_BYTES]
-        texts = [p.decode("utf-8", "replace") for p in short]
-        self._store(short, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-        for p in missing:
-            if len(p) >= LONG_BYTES:
-                pieces[p] = np.array(self.encode_long(p.decode("utf-8", "replace")), self.dtype).tobytes()
-        for w, parts in zip(words, split):
-            self.young[w] = pieces[parts[0]] if len(parts) == 1 else pieces[parts[0]] + pieces[parts[1]]
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        """A word as pieces whose ids, one after the other, are its own.
-
-        Marks after a last ASCII letter or digit are a piece of their own, and ASCII letters may be written
-        small where no other character is near and no special token can be meant.
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the number of ids of each text."""
+        with _threads("false"):  # tasks are parallel already; threads for single words cost more than they save
+            return self._encode(column)
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = Words(column)
+        buf, starts, ends, doc = self._pieces(words)
+        if not len(starts):
+            return np.zeros(0, self.dtype), np.zeros(words.n_texts, np.int64)
+        _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        packed = self._packed([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        pool, at = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        total = int(n.sum())
+        ids = pool[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(total)]
+        return ids, np.bincount(doc, weights=n, minlength=words.n_texts).astype(np.int64)
+
+    def _pieces(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, and starts, ends and texts of pieces whose ids, one after the other, are those of the texts.
+
+        Pieces are words. Where the tokenizer is known to allow it, marks after a last ASCII letter or digit
+        are a piece of their own, and the letters of a wholly ASCII word are written small, so that fewer
+        pieces differ. Words with "<" might hold a special token and stay as they are.
         """
-        if b"<" in word:
-            return (word,)
-        core = word.rstrip(MARKS)
-        if not core or not core[-1:].isalnum():
-            core = word
-        tail = word[len(core) :]
-        if core.isascii():
-            core = core.lower()
-        return (core, tail) if tail else (core,)
+        buf, starts, ends, doc = w.buf, w.starts, w.ends, w.doc
+        if not self.plain or not len(starts):
+            return buf, starts, ends, doc
+
+        def has(flags: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+            return sums[ends] > sums[starts]
+
+        special = has(buf == ord("<"))
+        as_is = special | has(buf >= 128)
+        small = _LOWER[buf]
+        kept = np.flatnonzero(w.word_bytes)[np.repeat(as_is, ends - starts)]
+        small[kept] = buf[kept]
+        last = np.maximum.accumulate(np.where(_MARK[buf], -1, np.arange(len(buf))))
+        core = np.maximum(last[ends - 1] + 1, starts)
+        two = (core > starts) & (core < ends) & _ALNUM[buf[core - 1]] & ~special
+        at = np.arange(len(starts)) + np.cumsum(two) - two
+        n = len(starts) + int(two.sum())
+        out_starts, out_ends = np.empty(n, np.int64), np.empty(n, np.int64)
+        out_starts[at], out_ends[at] = starts, np.where(two, core, ends)
+        out_starts[at[two] + 1], out_ends[at[two] + 1] = core[two], ends[two]
+        return small, out_starts, out_ends, np.repeat(doc, 1 + two)
+
+    def _packed(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, each packed as ``dtype``."""
+        if len(self.young) + len(pieces) > MEMORY_PIECES:
+            self.old, self.young = self.young, {}
+        young = self.young
+        found = list(map(young.get, pieces))
+        open_at = [i for i, v in enumerate(found) if v is None]
+        asked = [pieces[i] for i in open_at]
+        again = list(map(self.old.get, asked))
+        young.update((p, v) for p, v in zip(asked, again) if v is not None)
+        missing = [p for p, v in zip(asked, again) if v is None]
+        plain = [p for p in missing if self.plain and p.isalpha() and p.islower() and len(p) < LONG_BYTES]
+        texts = list(map(bytes.decode, plain))
+        self._store(plain, self.ending.encode_batch_fast(texts, add_special_tokens=False))
+        if len(plain) < len(missing):
+            rest = [p for p in missing if p not in young]
+            short = [p for p in rest if len(p) < LONG_BYTES]
+            texts = [p.decode("utf-8", "replace") for p in short]
+            self._store(short, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+            for p in rest:
+                if len(p) >= LONG_BYTES:
+                    young[p] = np.array(self.encode_long(p.decode("utf-8", "replace")), self.dtype).tobytes()
+        for i, p in zip(open_at, asked):
+            found[i] = young[p]
+        return found
 
     def _store(self, pieces: list[bytes], got: list) -> None:
-        counts = np.fromiter((len(e) for e in got), np.int64, len(got))
-        flat = np.fromiter((i for e in got for i in e.ids), self.dtype, int(counts.sum())).tobytes()
-        at = 0
-        for p, n in zip(pieces, (counts * self.dtype.itemsize).tolist()):
-            self.pieces[p] = flat[at : at + n]
-            at += n
+        ids = [e.ids for e in got]
+        counts = list(map(len, ids))
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, sum(counts)).tobytes()
+        ends = [n * self.dtype.itemsize for n in accumulate(counts)]
+        self.young.update((p, flat[a:b]) for p, a, b in zip(pieces, [0, *ends], ends))
 
     def encode_long(self, text: str) -> list[int]:
         """Ids of a text whose pieces may be very long."""
@@ -156,7 +200,8 @@ class WordEncoder:
         n = max(1, -(-len(piece) // LONG_BYTES))
         cuts = [len(piece) * i // n for i in range(n + 1)]
         leaves = [piece[a:b] for a, b in zip(cuts, cuts[1:])]
-        parts = [e.ids for e in self.inner.encode_batch(leaves[:-1], add_special_tokens=False)]
+        with _threads("true"):
+            parts = [e.ids for e in self.inner.encode_batch(leaves[:-1], add_special_tokens=False)]
         parts.append(self.ending.encode(leaves[-1], add_special_tokens=False).ids)
         while len(parts) > 1:
             pairs = range(0, len(parts) - 1, 2)
@@ -197,10 +242,6 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()]
-
-
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, ids (array of int) and decoded, the text that the ids stand for.
 
@@ -214,12 +255,10 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         enc = encoder(path)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                packed = enc.encode(texts_of(part.column("text")))
-                ids = [np.frombuffer(p, enc.dtype) for p in packed]
-                ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-                flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
-                decoded = pa.array([enc.decode(i) for i in ids], pa.string())
+                ids, counts = enc.encode(part.column("text"))
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
+                decoded = pa.array([enc.decode(ids[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, decoded], names=["doc_id", "ids", "decoded"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sketchloom.llm.bpe import bpe_round_trip
 from sketchloom.llm.exact_dedup import exact_dedup
 from sketchloom.llm.mixing import mix_plan
 from sketchloom.llm.near_dedup import simhash_groups
@@ -38,6 +39,22 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind_order"] < BASE_KINDS)
@@ -95,6 +112,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
