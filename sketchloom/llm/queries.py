@@ -14,6 +14,7 @@ from sketchloom.llm.near_dedup import simhash_groups
 from sketchloom.llm.quality import quality_verdicts
 from sketchloom.llm.secrets import BASE_KINDS, KINDS, listed, secret_scan
 from sketchloom.llm.shared import read_table
+from sketchloom.llm.token_files import new_folder, read_token_files, write_token_files
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return read_token_files(write_token_files(docs, new_folder(spark), tokenizer_path()))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select(
@@ -112,6 +118,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op6_token_files": op6_token_files,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
