@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.llm.bpe import bpe_round_trip
 from sketchloom.llm.exact_dedup import exact_dedup
+from sketchloom.llm.langid import fit_languages, identify
 from sketchloom.llm.mixing import mix_plan
 from sketchloom.llm.near_dedup import simhash_groups
 from sketchloom.llm.quality import quality_verdicts
@@ -35,6 +36,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return identify(docs, fit_languages(docs))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(read_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -117,6 +123,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op6_token_files": op6_token_files,
     "op7_bpe_round_trip": op7_bpe_round_trip,
