@@ -16,6 +16,7 @@ from sketchloom.llm.quality import quality_verdicts
 from sketchloom.llm.secrets import BASE_KINDS, KINDS, listed, secret_scan
 from sketchloom.llm.shared import read_table
 from sketchloom.llm.token_files import new_folder, read_token_files, write_token_files
+from sketchloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    automaton, beta = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, automaton, beta)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -125,6 +132,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
+    "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op9_secret_scan": op9_secret_scan,
