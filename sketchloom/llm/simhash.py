@@ -93,7 +93,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     sizes = w.ends - w.starts
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     data = np.full(int(sizes.sum()) + n, 0x20, np.uint8)
-    data[np.arange(int(sizes.sum())) + np.repeat(np.arange(n), sizes)] = _LOWER[w.buf[w.word_bytes]]
+    data[np.arange(int(sizes.sum())) + np.repeat(np.arange(n), sizes)] = _LOWER[w.buf.compress(w.word_bytes)]
     # The last word of the shingle that begins at each word; a short text is one shingle.
     last = np.minimum(np.arange(n) + SHINGLE_WORDS - 1, w.first[w.doc + 1] - 1)
     whole = (last - np.arange(n) == SHINGLE_WORDS - 1) | (np.arange(n) == w.first[w.doc])

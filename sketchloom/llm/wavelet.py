@@ -28,7 +28,7 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, counts:
     zeros, entries, blocks, end = [], [], [], 0
     squeeze = zstandard.ZstdCompressor(level=1)
     for p in reversed(range(planes)):
-        bit = (level >> p) & 1 != 0
+        bit = (level & level.dtype.type(1 << p)).astype(bool)
         packed = np.packbits(bit, bitorder="little")
         ones = 0
         for at in range(0, len(packed), BLOCK_BITS // 8):
@@ -38,7 +38,7 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, counts:
             entries.append((ones, end))
             ones += int(np.bitwise_count(raw).sum(dtype=np.int64))
         zeros.append(len(level) - ones)
-        level = np.concatenate([level[~bit], level[bit]])
+        level = np.concatenate([level.compress(~bit), level.compress(bit)])
     docs = np.empty(len(counts), _DOC)
     docs["known"], docs["id"], docs["tokens"] = known, doc_ids, counts
     head = np.array([(len(ids), len(counts), planes, BLOCK_BITS)], _HEADER)
@@ -84,8 +84,8 @@ class TokenFile:
         for plane in reversed(range(self.planes) if self.n else []):
             bit, z = self._bits(plane), int(self.zeros[plane])
             before = np.empty_like(out)
-            before[~bit] = out[:z]
-            before[bit] = out[z:] | out.dtype.type(1 << (self.planes - 1 - plane))
+            before[np.flatnonzero(~bit)] = out[:z]
+            before[np.flatnonzero(bit)] = out[z:] | out.dtype.type(1 << (self.planes - 1 - plane))
             out = before
         return out
 
