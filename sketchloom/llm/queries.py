@@ -15,6 +15,7 @@ from sketchloom.llm.near_dedup import simhash_groups
 from sketchloom.llm.quality import quality_verdicts
 from sketchloom.llm.secrets import BASE_KINDS, KINDS, listed, secret_scan
 from sketchloom.llm.shared import read_table
+from sketchloom.llm.substring_dedup import remove_repeated
 from sketchloom.llm.token_files import new_folder, read_token_files, write_token_files
 from sketchloom.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -74,6 +75,11 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind_order"] < BASE_KINDS)
@@ -135,6 +141,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_files": op6_token_files,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
