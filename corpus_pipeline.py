@@ -1,12 +1,75 @@
-"""The documents pipeline: language, exact copies, near copies, source mix, tokens."""
+"""The documents pipeline: language, exact copies, near copies, source mix, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on what the stage before it kept, and returns a DataFrame. ``run``
+writes the result of each stage as Parquet in the shared folder and reads it again for the next.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sketchloom.llm.bpe import bpe_round_trip
+from sketchloom.llm.exact_dedup import drop_exact_copies
+from sketchloom.llm.langid import fit_languages, keep_identified
+from sketchloom.llm.mixing import mix
+from sketchloom.llm.near_dedup import drop_near_copies
+from sketchloom.llm.queries import tokenizer_path
+from sketchloom.llm.shared import read_table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified (operator 3); those without letters or any likely language go."""
+    return keep_identified(docs, fit_languages(docs))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text (operator 1)."""
+    return drop_exact_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (operator 2)."""
+    return drop_near_copies(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them (operator 4)."""
+    return mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digest of the text that they decode to (operator 7)."""
+    coded = bpe_round_trip(docs, tokenizer_path())
+    n_tokens = F.size("ids").cast("long").alias("n_tokens")
+    return coded.select("doc_id", n_tokens, "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("source_mix", source_mix),
+    ("tokens", tokens),
+]
+
+#: Training a network, fingerprint components and BPE are beyond SQL; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
-def queries():
-    return {}
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"pipeline": run}
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     return {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.shared import bitmap_of, with_bitmap_test
+from sketchloom.llm.shared import bitmap_of, with_bitmap_test, without_ids
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 128
@@ -70,8 +70,7 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text another row with a larger doc_id has too, all columns kept.
 
-    The ids to drop are those of copies alone; they meet the rows in one anti-join, which becomes a broadcast
-    where adaptive execution finds the ids small. A repeated row with the id that stays remains as it is.
+    Rows without id stay. A repeated row with the id that stays remains as it is.
     """
-    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select("doc_id")
+    return without_ids(docs, id_col, gone)

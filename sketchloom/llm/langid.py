@@ -261,3 +261,20 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
     found = src.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+#: Documents with a lower score are rejected: the network sees no language in them.
+LEAST_SCORE = 0.3
+
+
+def keep_identified(docs: DataFrame, model: ByteGru, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is identified with LEAST_SCORE or more; all columns kept, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, 2 << 20):
+                names, scores = predict(model, part.column(text_col))
+                keep = (np.array(names, object) != UNKNOWN) & (scores >= LEAST_SCORE)
+                yield part.filter(pa.array(keep.astype(bool)))
+
+    return docs.mapInArrow(run, docs.schema)

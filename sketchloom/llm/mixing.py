@@ -22,7 +22,7 @@ def word_count(text):
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, source, size, source_size, target, copies, taken.
+    """One row for each row of ``docs``: doc_id, text_hash, source, size, source_size, target, copies, taken.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share all words: a source's target
     is its weighted share, at most MAX_EPOCHS times its size, with what is above shared out again by weight.
@@ -39,7 +39,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     are separate documents of the mix. An empty table gives no rows.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                        word_count(F.col(text_col)).alias("size"))
+                        word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     sized = sized.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
     sized = written(sized.withColumn("part", F.pmod(F.shiftright("place", 40), F.lit(RANGES)).cast("int")), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
@@ -80,7 +80,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     else:
         taken = [F.when(F.col("target") > 0, 1).otherwise(0)] * MAX_EPOCHS
     result = queued.withColumn("copies", sum(taken[1:], taken[0]).cast("int"))
-    return result.select("doc_id", "source", "size", "source_size", "target",
+    return result.select("doc_id", "text_hash", "source", "size", "source_size", "target",
                          F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"),
                          F.when(F.col("size") > 0, F.col("copies") * F.col("size")).otherwise(0).cast("long").alias("taken"))
 
@@ -120,8 +120,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with the columns of ``docs``.
 
-    Rows meet their number of copies by id; the id must be unique and not null (rows without id are left out).
+    Rows meet their number of copies by id and text; of repeated rows with both equal, each is taken as often
+    as the one that is taken most.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col).filter("copies > 0").select(F.col("doc_id").alias("_mix_id"), "copies")
-    joined = docs.join(plan, docs[id_col] == plan["_mix_id"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    plan = mix_plan(docs, id_col, text_col, source_col).filter("copies > 0")
+    plan = plan.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("__sl_copies"))
+    plan = plan.withColumnsRenamed({"doc_id": "__sl_id", "text_hash": "__sl_hash"})
+    same = F.col(id_col).eqNullSafe(F.col("__sl_id")) & (F.xxhash64(F.col(text_col)) == F.col("__sl_hash"))
+    joined = docs.join(plan, same)
+    return joined.withColumn("__sl_copy", F.explode(F.sequence(F.lit(1), F.col("__sl_copies")))).select(*docs.columns)

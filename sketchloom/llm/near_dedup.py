@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sketchloom.llm.hamming_index import near_groups
-from sketchloom.llm.shared import written
+from sketchloom.llm.shared import without_ids, written
 from sketchloom.llm.simhash import with_fingerprints
 
 
@@ -20,6 +19,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; all columns kept."""
-    gone = simhash_groups(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")
+    """``docs`` with one document of each group, the one with the smallest id; all columns kept.
+
+    Rows without id stay, as do repeated rows with the id that stays.
+    """
+    gone = simhash_groups(docs, id_col, text_col).filter("doc_id <> component_id").select("doc_id")
+    return without_ids(docs, id_col, gone)

@@ -63,7 +63,19 @@ def bitmap_of(keys: DataFrame, key: Column, words: int = BITMAP_WORDS) -> DataFr
 def with_bitmap_test(df: DataFrame, bitmap: DataFrame, key: Column, name: str, words: int = BITMAP_WORDS) -> DataFrame:
     """Add boolean ``name``: false only if ``key`` is surely not in ``bitmap``."""
     at = F.pmod(F.xxhash64(key), F.lit(words * 64))
-    probe = df.withColumns({"bm_at": F.floor(at / 64).cast("long"), "bm_pos": (at % 64).cast("int")})
-    joined = probe.join(F.broadcast(bitmap), probe["bm_at"] == bitmap["bm_word"], "left")
-    hit = F.coalesce(F.getbit(F.col("bm_mask"), F.col("bm_pos")) == 1, F.lit(False))
-    return joined.withColumn(name, hit).drop("bm_at", "bm_pos", "bm_word", "bm_mask")
+    probe = df.withColumns({"__sl_at": F.floor(at / 64).cast("long"), "__sl_pos": (at % 64).cast("int")})
+    known = bitmap.select(F.col("bm_word").alias("__sl_word"), F.col("bm_mask").alias("__sl_mask"))
+    joined = probe.join(F.broadcast(known), F.col("__sl_at") == F.col("__sl_word"), "left")
+    hit = F.coalesce(F.getbit(F.col("__sl_mask"), F.col("__sl_pos")) == 1, F.lit(False))
+    return joined.withColumn(name, hit).drop("__sl_at", "__sl_pos", "__sl_word", "__sl_mask")
+
+
+def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``; all columns kept, null ids too.
+
+    Rows that a bitmap of the ids rules out pass at once; only the few others are shuffled to meet the ids.
+    """
+    gone = gone.toDF("__sl_gone").filter("__sl_gone is not null")
+    tested = with_bitmap_test(docs, bitmap_of(gone, F.col("__sl_gone")), F.col(id_col), "__sl_hit")
+    maybe = tested.filter("__sl_hit").join(gone, F.col(id_col) == F.col("__sl_gone"), "left_anti")
+    return tested.filter("not __sl_hit").unionByName(maybe).select(*docs.columns)
