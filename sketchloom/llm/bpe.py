@@ -7,7 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
+from sketchloom.llm.shared import mapped
 from sketchloom.llm.wordspan import Words, slices, span_hashes
 
 #: A word of so many bytes or more is split into halves, quarters and so on down to pieces below it.
@@ -23,15 +25,27 @@ LONG_BYTES = 2048
 #: Tokens on each side of a join in the first window.
 WINDOW = 8
 #: Pieces that each of the two generations of a worker's memory holds at most, but for those of one slice.
-MEMORY_PIECES = 1 << 19
+MEMORY_PIECES = 1 << 18
+#: Pieces that are handed to the library at once.
+AT_ONCE = 4096
 #: Bytes of text that are taken at once.
 SLICE_BYTES = 2 << 20
 # The pre-tokenizer's pattern for which words may be taken apart, and the marks that are.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = b".,!?;:*$%#&"
+#: How a piece is encoded.
+LETTERS, OTHER, LONG = range(3)
+#: Byte-level symbols: a byte that is no printable Latin-1 character stands for the next free one from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SYMBOLS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE) if b != 32}
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOWER_LATIN = np.arange(256, dtype=np.uint8)
+_LOWER_LATIN[[b for b in range(0x80, 0x9F) if b != 0x97]] += 32
+_SMALL = np.isin(np.arange(256), list(range(97, 123)))
+#: Second bytes of the small letters of Latin-1.
+_SMALL_LATIN = np.isin(np.arange(256), [b for b in range(0x9F, 0xC0) if b != 0xB7])
 _MARK = np.isin(np.arange(256), list(MARKS))
 _ALNUM = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
 
@@ -51,6 +65,10 @@ def _threads(setting: str) -> Iterator[None]:
             os.environ[name] = before
 
 
+def _merges(model: dict) -> list[tuple[str, ...]]:
+    return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+
+
 class WordEncoder:
     """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False).ids``.
 
@@ -60,21 +78,23 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         model = spec["model"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
-        # Pieces inside a word: the same merges, but their last symbol does not end a word.
-        self.inner = Tokenizer(BPE(vocab=model["vocab"], merges=merges))
-        self.ending = Tokenizer(BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix)) if self.suffix else self.inner
+        # Pieces that end a word, without normalizer; many may be joined by spaces, which no symbol is.
+        self.ending = Tokenizer(BPE(vocab=model["vocab"], merges=_merges(model), cache_capacity=0, end_of_word_suffix=self.suffix))
+        self.ending.pre_tokenizer = WhitespaceSplit()
+        self._inner: Tokenizer | None = None
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added_pattern = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        self.ends_piece = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.tokens])
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -88,6 +108,15 @@ class WordEncoder:
             and all(t.startswith("<|") for t in self.added)
         )
 
+    @property
+    def inner(self) -> Tokenizer:
+        """For parts inside a word: the same merges, but their last symbol does not end it. Made when first needed."""
+        if self._inner is None:
+            with open(self.path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            self._inner = Tokenizer(BPE(vocab=model["vocab"], merges=_merges(model), cache_capacity=0))
+        return self._inner
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each text."""
         with _threads("false"):  # tasks are parallel already; threads for single words cost more than they save
@@ -99,21 +128,20 @@ class WordEncoder:
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(words.n_texts, np.int64)
         _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        packed = self._packed([raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+        packed = self._packed(buf, starts[first], ends[first])
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
         pool, at = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(sizes) - sizes
         n = sizes[which]
-        total = int(n.sum())
-        ids = pool[np.repeat(at[which] - (np.cumsum(n) - n), n) + np.arange(total)]
+        upto = np.cumsum(n)
+        ids = pool.take(np.repeat(at[which] - (upto - n), n) + np.arange(int(upto[-1])))
         return ids, np.bincount(doc, weights=n, minlength=words.n_texts).astype(np.int64)
 
     def _pieces(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Bytes, and starts, ends and texts of pieces whose ids, one after the other, are those of the texts.
 
-        Pieces are words. Where the tokenizer is known to allow it, marks after a last ASCII letter or digit
-        are a piece of their own, and the letters of a wholly ASCII word are written small, so that fewer
-        pieces differ. Words with "<" might hold a special token and stay as they are.
+        Pieces are words. Where the tokenizer is known to allow it, marks after a last letter or digit are a
+        piece of their own, and the letters of a word wholly in ASCII and the letters of Latin-1 are written
+        small, so that fewer pieces differ. Words with "<" might hold a special token and stay as they are.
         """
         buf, starts, ends, doc = w.buf, w.starts, w.ends, w.doc
         if not self.plain or not len(starts):
@@ -123,14 +151,19 @@ class WordEncoder:
             sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
             return sums[ends] > sums[starts]
 
+        # Letters of Latin-1 are C3 and a second byte in UTF-8; all its letters are composed already.
+        second = np.zeros(len(buf), bool)
+        second[1:] = buf[:-1] == 0xC3
+        latin = second & ~np.isin(buf, (0x97, 0xB7))
         special = has(buf == ord("<"))
-        as_is = special | has(buf >= 128)
-        small = _LOWER[buf]
-        kept = np.flatnonzero(w.word_bytes)[np.repeat(as_is, ends - starts)]
+        as_is = special | has((buf >= 128) & (buf != 0xC3) & ~latin)
+        small = np.where(latin, _LOWER_LATIN[buf], _LOWER[buf])
+        kept = np.flatnonzero(w.word_bytes).compress(np.repeat(as_is, ends - starts))
         small[kept] = buf[kept]
-        last = np.maximum.accumulate(np.where(_MARK[buf], -1, np.arange(len(buf))))
+        last = np.maximum.accumulate(np.where(_MARK[buf], np.int32(-1), np.arange(len(buf), dtype=np.int32)))
         core = np.maximum(last[ends - 1] + 1, starts)
-        two = (core > starts) & (core < ends) & _ALNUM[buf[core - 1]] & ~special
+        letter = _ALNUM[buf[core - 1]] | (latin[core - 1] & ~as_is)
+        two = (core > starts) & (core < ends) & letter & ~special
         at = np.arange(len(starts)) + np.cumsum(two) - two
         n = len(starts) + int(two.sum())
         out_starts, out_ends = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -138,38 +171,68 @@ class WordEncoder:
         out_starts[at[two] + 1], out_ends[at[two] + 1] = core[two], ends[two]
         return small, out_starts, out_ends, np.repeat(doc, 1 + two)
 
-    def _packed(self, pieces: list[bytes]) -> list[bytes]:
+    def _packed(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The ids of distinct pieces, each packed as ``dtype``."""
+        raw = buf.tobytes()
+        pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
         if len(self.young) + len(pieces) > MEMORY_PIECES:
             self.old, self.young = self.young, {}
-        young = self.young
-        found = list(map(young.get, pieces))
-        open_at = [i for i, v in enumerate(found) if v is None]
-        asked = [pieces[i] for i in open_at]
-        again = list(map(self.old.get, asked))
-        young.update((p, v) for p, v in zip(asked, again) if v is not None)
-        missing = [p for p, v in zip(asked, again) if v is None]
-        plain = [p for p in missing if self.plain and p.isalpha() and p.islower() and len(p) < LONG_BYTES]
-        texts = list(map(bytes.decode, plain))
-        self._store(plain, self.ending.encode_batch_fast(texts, add_special_tokens=False))
-        if len(plain) < len(missing):
-            rest = [p for p in missing if p not in young]
-            short = [p for p in rest if len(p) < LONG_BYTES]
-            texts = [p.decode("utf-8", "replace") for p in short]
-            self._store(short, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-            for p in rest:
-                if len(p) >= LONG_BYTES:
-                    young[p] = np.array(self.encode_long(p.decode("utf-8", "replace")), self.dtype).tobytes()
-        for i, p in zip(open_at, asked):
-            found[i] = young[p]
+        found = list(map(self.young.get, pieces))
+        unseen = [i for i, v in enumerate(found) if v is None]
+        missing = []
+        for i in unseen:
+            v = self.old.get(pieces[i])
+            if v is None:
+                missing.append(i)
+            else:
+                found[i] = self.young[pieces[i]] = v
+        missing = np.array(missing, np.int64)
+        kind = self._kinds(buf, starts[missing], ends[missing])
+        for k in (LETTERS, OTHER):
+            rows = missing[kind == k].tolist()
+            own = [pieces[i] for i in rows]
+            values = self._letters(own) if k == LETTERS else self._others(own)
+            self.young.update(zip(own, values))
+            for i, v in zip(rows, values):
+                found[i] = v
+        for i in missing[kind == LONG].tolist():
+            text = pieces[i].decode("utf-8", "replace")
+            found[i] = self.young[pieces[i]] = np.array(self.encode_long(text), self.dtype).tobytes()
         return found
 
-    def _store(self, pieces: list[bytes], got: list) -> None:
-        ids = [e.ids for e in got]
-        counts = list(map(len, ids))
-        flat = np.fromiter(chain.from_iterable(ids), self.dtype, sum(counts)).tobytes()
-        ends = [n * self.dtype.itemsize for n in accumulate(counts)]
-        self.young.update((p, flat[a:b]) for p, a, b in zip(pieces, [0, *ends], ends))
+    def _kinds(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How each piece is encoded: small letters may skip the normalizer and the pre-tokenizer."""
+        kind = np.where(ends - starts >= LONG_BYTES, LONG, OTHER)
+        if self.plain and self.suffix and len(starts):
+            letter = _SMALL[buf] | (buf == 0xC3)
+            letter[1:] |= (buf[:-1] == 0xC3) & _SMALL_LATIN[buf[1:]]
+            sums = np.concatenate([[0], np.cumsum(letter, dtype=np.int32)])
+            kind[(sums[ends] - sums[starts] == ends - starts) & (kind != LONG)] = LETTERS
+        return kind
+
+    def _split(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        flat = ids.astype(self.dtype).tobytes()
+        ends = (np.cumsum(counts) * self.dtype.itemsize).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _letters(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces of small letters: joined by spaces, they cost one call; a token with the suffix ends each."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), AT_ONCE):
+            text = b" ".join(pieces[at : at + AT_ONCE]).decode("latin-1").translate(BYTE_SYMBOLS)
+            ids = np.array(self.ending.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            out += self._split(ids, np.diff(np.flatnonzero(self.ends_piece[ids]), prepend=-1))
+        return out
+
+    def _others(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of any pieces. Some at a time: the library's results take far more memory than their ids."""
+        out: list[bytes] = []
+        for at in range(0, len(pieces), AT_ONCE):
+            texts = [p.decode("utf-8", "replace") for p in pieces[at : at + AT_ONCE]]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            out += self._split(np.fromiter(chain.from_iterable(ids), self.dtype, int(counts.sum())), counts)
+        return out
 
     def encode_long(self, text: str) -> list[int]:
         """Ids of a text whose pieces may be very long."""
@@ -263,4 +326,4 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return mapped(src, run, f"doc_id {kind}, ids array<int>, decoded string")
