@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.shared import written
+from sketchloom.llm.shared import mapped, written
 
 MAX_BITS = 3
 #: Children of a node of the index.
@@ -182,7 +182,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_forest(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints with the same connected parts as all links within MAX_BITS."""
     keyed = buckets(fps).repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
-    return keyed.mapInArrow(_forests, "a long, b long").distinct()
+    return mapped(keyed, _forests, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

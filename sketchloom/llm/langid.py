@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sketchloom.llm.shared import mapped
 from sketchloom.llm.wordspan import Words, mixed, slices, span_hashes
 
 #: Labelled documents of each language, and of all, and pieces of a document that are read at most for training.
@@ -18,7 +19,7 @@ HIDDEN, STEPS, BATCH, RATE, SEED = 12, 700, 512, 0.01, 5
 #: Longest sequence; a longer word is cut into sequences of this length.
 LONGEST = 32
 #: Sequences that are run through the network at once.
-CHUNK = 4096
+CHUNK = 2048
 UNKNOWN = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,8 +68,11 @@ class ByteGru:
         p["bias"] = np.zeros(n, np.float32)
         return cls(labels, p)
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, list, list, np.ndarray]:
-        """Label probabilities of every position of sequences of equal length (positions x sequences x labels)."""
+    def forward(self, x: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list, list, np.ndarray]:
+        """Label probabilities of every position of sequences of equal length (positions x sequences x labels).
+
+        With ``keep``, also what backpropagation needs of each step.
+        """
         t, n = x.shape[1], len(x)
         hs = np.empty((t, n, 2 * HIDDEN), np.float32)
         h = np.zeros((n, HIDDEN), np.float32)
@@ -76,12 +80,14 @@ class ByteGru:
         for i in range(t):
             h, kept = step(self.p["table_f"][x[:, i]], h, self.p["u_f"])
             hs[i, :, :HIDDEN] = h
-            kept_f.append(kept)
+            if keep:
+                kept_f.append(kept)
         h = np.zeros((n, HIDDEN), np.float32)
         for i in reversed(range(t)):
             h, kept = step(self.p["table_b"][x[:, i]], h, self.p["u_b"])
             hs[i, :, HIDDEN:] = h
-            kept_b.append(kept)
+            if keep:
+                kept_b.append(kept)
         logits = hs @ self.p["out"] + self.p["bias"]
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
         return e / e.sum(axis=2, keepdims=True), kept_f, kept_b[::-1], hs
@@ -110,7 +116,7 @@ class ByteGru:
 
     def position_sums(self, x: np.ndarray) -> np.ndarray:
         """Sum over positions of the label probabilities of each sequence."""
-        parts = [self.forward(x[i : i + CHUNK])[0].sum(axis=0) for i in range(0, len(x), CHUNK)]
+        parts = [self.forward(x[i : i + CHUNK], keep=False)[0].sum(axis=0) for i in range(0, len(x), CHUNK)]
         return np.concatenate(parts) if parts else np.zeros((0, len(self.labels)), np.float32)
 
 
@@ -229,7 +235,7 @@ def training_pieces(docs: DataFrame, id_col: str, text_col: str, lang_col: str)
     picked = fit.orderBy(F.xxhash64("id"), "id").limit(MAX_DOCS).select(F.col("id").alias("_id"))
     rows = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"], "left_semi")
     rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return rows.filter("lang is not null").mapInArrow(cut, "lang string, piece binary, n long")
+    return mapped(rows.filter("lang is not null"), cut, "lang string, piece binary, n long")
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru:
@@ -251,14 +257,14 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 names, scores = predict(model, part.column("text"))
                 cols = [part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score"])
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    found = src.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    found = mapped(src, run, f"doc_id {kind}, lang_pred string, score double")
     held = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
@@ -272,9 +278,9 @@ def keep_identified(docs: DataFrame, model: ByteGru, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col, 2 << 20):
+            for part in slices(batch, text_col, 1 << 20):
                 names, scores = predict(model, part.column(text_col))
                 keep = (np.array(names, object) != UNKNOWN) & (scores >= LEAST_SCORE)
                 yield part.filter(pa.array(keep.astype(bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)

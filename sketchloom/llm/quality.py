@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sketchloom.llm.shared import mapped
 from sketchloom.llm.wordspan import Words, mixed, slices, span_hashes
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -94,7 +95,7 @@ def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(measure, f"doc_id {kind}, " + ", ".join(f"{f} long" for f in FEATURES))
+    return mapped(src, measure, f"doc_id {kind}, " + ", ".join(f"{f} long" for f in FEATURES))
 
 
 def base_failed():

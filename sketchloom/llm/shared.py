@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: 64-bit words of a bitmap filter: 2**17 words are 8.4 million bits and about 2 MB once broadcast.
 BITMAP_WORDS = 1 << 17
+#: Bytes of an Arrow batch, but for single rows above.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/sketchloom"
 
 
+def mapped(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded by bytes, so that rows with very long texts do not pile up.
+
+    Spark counts only rows by default. A bound that the session already has is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not conf.get(key, None):
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

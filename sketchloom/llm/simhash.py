@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sketchloom.llm.shared import mapped
 from sketchloom.llm.wordspan import Words, slices
 
 SHINGLE_WORDS = 3
@@ -120,4 +121,4 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(measure, f"doc_id {kind}, fp long")
+    return mapped(src, measure, f"doc_id {kind}, fp long")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.shared import bitmap_of, with_bitmap_test, written
+from sketchloom.llm.shared import bitmap_of, mapped, with_bitmap_test, written
 from sketchloom.llm.wordspan import Words, _prefix, _word_powers, mixed, slices
 
 #: Words of a window; a passage is removed where windows of this length repeat.
@@ -137,7 +137,7 @@ def repeated_groups(docs: DataFrame) -> DataFrame:
                 n = np.bincount(which, weights=s.weight, minlength=len(key)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["key", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    return mapped(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
 def large_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def large_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
                 cols = [pa.array(np.ascontiguousarray(pair[:, i])) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "content"])
 
-    found = docs.select("text").mapInArrow(run, "key long, content long").distinct()
+    found = mapped(docs.select("text"), run, "key long, content long").distinct()
     return found.groupBy("key").count().filter(F.col("count") > LARGE_GROUP).select("key")
 
 
@@ -312,9 +312,9 @@ def repeated_ranges(docs: DataFrame, filters: tuple[KeyFilter, KeyFilter]) -> Da
         done.extend((now, c, r) for c, r in judge(group)) if group else None
         yield out()
 
-    found = docs.select("text").mapInArrow(gather, "key long, content long, n long, words binary")
+    found = mapped(docs.select("text"), gather, "key long, content long, n long, words binary")
     dealt = found.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, f"key long, content long, ranges {RANGES}")
+    return mapped(dealt, run, f"key long, content long, ranges {RANGES}")
 
 
 def occurrences(docs: DataFrame, filters: tuple[KeyFilter, KeyFilter]) -> DataFrame:
@@ -341,7 +341,7 @@ def occurrences(docs: DataFrame, filters: tuple[KeyFilter, KeyFilter]) -> DataFr
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "key", "content", "place"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, text_hash long, key long, content long, place int")
+    return mapped(docs, run, f"doc_id {kind}, text_hash long, key long, content long, place int")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -404,4 +404,4 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept"])
 
     ident = src.schema["doc_id"].dataType.simpleString()
-    return clean.unionByName(some).mapInArrow(run, f"doc_id {ident}, n_words long, n_removed long, kept string")
+    return mapped(clean.unionByName(some), run, f"doc_id {ident}, n_words long, n_removed long, kept string")

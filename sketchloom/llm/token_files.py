@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchloom.llm.bpe import SLICE_BYTES, encoder
-from sketchloom.llm.shared import shared_dir, written
+from sketchloom.llm.shared import mapped, shared_dir, written
 from sketchloom.llm.wavelet import TokenFile, encode_file
 from sketchloom.llm.wordspan import slices
 
@@ -58,7 +58,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    return written(mapped(ordered, run, MANIFEST), "token-manifest")
 
 
 def _closed(folder: str, part: int, seq: int, held: list) -> pa.RecordBatch:
@@ -100,7 +100,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     placed = manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     files = max(1, manifest.count())
     spread = placed.select("path", "start").repartition(files)
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(spread, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def new_folder(spark) -> str:

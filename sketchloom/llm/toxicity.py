@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.langid import fold
+from sketchloom.llm.shared import mapped
 from sketchloom.llm.wordspan import Words, slices, span_hashes
 
 #: Labelled documents that are read at most, the first in the order of a hash of the id.
@@ -245,7 +246,7 @@ def candidate_terms(rows: DataFrame) -> DataFrame:
                 cols = [pa.array(terms, pa.string()), pa.array(prefix, pa.bool_()), pa.array(toxic, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, names=["term", "prefix", "toxic"])
 
-    found = rows.mapInArrow(cut, "term string, prefix boolean, toxic int")
+    found = mapped(rows, cut, "term string, prefix boolean, toxic int")
     return found.groupBy("term", "prefix").agg(
         F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("n")
     )
@@ -309,7 +310,7 @@ def ordinary_words(rows: DataFrame, automaton: TermAutomaton) -> frozenset[str]:
                 cols = [pa.array(words, pa.string()), pa.array(toxic, pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, names=["word", "toxic"])
 
-    found = rows.mapInArrow(near, "word string, toxic int").groupBy("word")
+    found = mapped(rows, near, "word string, toxic int").groupBy("word")
     found = found.agg(F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("n"), F.count(F.lit(1)).alias("docs"))
     found = found.filter("n > 0 and 2 * n >= docs").orderBy(F.desc("n"), "word").limit(CANDIDATES)
     return frozenset(r.word for r in found.collect())
@@ -328,7 +329,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                 cols = [*(pa.array(got[k], pa.float64()) for k in EVIDENCE), part.column("toxic")]
                 yield pa.RecordBatch.from_arrays(cols, names=[*EVIDENCE, "toxic"])
 
-    seen = rows.mapInArrow(run, ", ".join(f"{k} double" for k in EVIDENCE) + ", toxic int").toPandas()
+    seen = mapped(rows, run, ", ".join(f"{k} double" for k in EVIDENCE) + ", toxic int").toPandas()
     seen = seen.sort_values([*EVIDENCE, "toxic"])
     if seen.empty:
         return automaton, np.array([-3.0, 0.0, 0.0, 0.0])
@@ -344,7 +345,7 @@ def score_toxicity(docs: DataFrame, automaton: TermAutomaton, beta: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 got = evidence(automaton, part.column("text"))
                 score = 1 / (1 + np.exp(-np.clip(inputs(got) @ beta, -30, 30)))
                 cols = [part.column("doc_id"), *(pa.array(x, pa.float64()) for x in (score, got["evidence"], got["density"]))]
@@ -352,7 +353,7 @@ def score_toxicity(docs: DataFrame, automaton: TermAutomaton, beta: np.ndarray,
 
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    found = src.mapInArrow(run, f"doc_id {kind}, score double, evidence double, density double")
+    found = mapped(src, run, f"doc_id {kind}, score double, evidence double, density double")
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)
     return found.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"), "evidence", "density")
