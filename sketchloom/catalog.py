@@ -17,9 +17,16 @@ def register(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str |
         _ORACLES[name] = sql
 
 
+def _load() -> None:
+    """Import the module that registers the queries; it imports this one, so not at the top."""
+    import sketchloom.plans.queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
