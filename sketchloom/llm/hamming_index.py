@@ -15,7 +15,7 @@ MAX_BITS = 3
 #: Children of a node of the index.
 FAN_OUT = 8
 #: A bucket with more fingerprints is split on further bits.
-BUCKET = 4096
+BUCKET = 1 << 15
 #: Node pairs that are expanded at once.
 FRONTIER = 1 << 15
 #: Rounds of star contraction: the number of nodes on a path shrinks by a constant factor in each.

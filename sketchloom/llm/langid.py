@@ -172,6 +172,8 @@ def predict(model: ByteGru, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Label and score of each text: the mean of its positions' probabilities."""
     w, buf, starts, ends, doc = _letter_words(column)
     n_labels = len(model.labels)
+    if not n_labels:
+        return [UNKNOWN] * w.n_texts, np.zeros(w.n_texts)
     pooled = np.zeros((w.n_texts, n_labels))
     if len(starts):
         _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
@@ -186,7 +188,7 @@ def predict(model: ByteGru, column: pa.Array) -> tuple[list[str], np.ndarray]:
     total = pooled.sum(axis=1)
     lettered = _lettered(w, column) & (total > 0)
     probs = pooled / np.where(total > 0, total, 1)[:, None]
-    best = probs.argmax(axis=1) if n_labels else np.zeros(w.n_texts, int)
+    best = probs.argmax(axis=1)
     names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
     return names, np.where(lettered, np.minimum(probs.max(axis=1, initial=0.0), 1.0), 0.0)
 
