@@ -46,17 +46,21 @@ class TermAutomaton:
     one lookup, and a word that no term is near to ends after a few letters.
     """
 
-    def __init__(self, words: dict[str, float], prefixes: dict[str, float], ordinary: frozenset[str] = frozenset()):
-        #: Words that are near to a term but are words of their own.
-        self.words, self.prefixes, self.ordinary = words, prefixes, ordinary
+    def __init__(self, words: dict[str, float], prefixes: dict[str, float], ordinary: frozenset[str] = frozenset(), beginnings: frozenset[str] = frozenset()):
+        #: A word below a prefix term counts as the better of the two.
+        self.words = {w: max([weight, *(v for p, v in prefixes.items() if w.startswith(p))]) for w, weight in words.items()}
+        #: Words that are near to a term but are words of their own, and such beginnings near to a prefix term.
+        self.prefixes, self.ordinary, self.beginnings = prefixes, ordinary, beginnings
         self.children: list[dict[str, int]] = [{}]
         self.word_of: list[float] = [0.0]
         self.prefix_of: list[float] = [0.0]
         self.allowed: list[int] = [0]
+        #: Edits of a term that ends at the node, and letters before it: the same for a word and a prefix.
         self.edits: list[int] = [0]
-        for terms, weights, fuzzy in ((words, self.word_of, True), (prefixes, self.prefix_of, False)):
+        self.depth: list[int] = [0]
+        for terms, weights in ((self.words, self.word_of), (prefixes, self.prefix_of)):
             for term, weight in sorted(terms.items()):
-                n = (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS) if fuzzy else 0
+                n = (len(term) >= ONE_EDIT) + (len(term) >= TWO_EDITS)
                 self.allowed[0] = max(self.allowed[0], n)
                 node = 0
                 for c in term:
@@ -65,11 +69,11 @@ class TermAutomaton:
                         self.children.append({})
                         for values in (self.word_of, self.prefix_of, self.allowed, self.edits):
                             values.append(0)
+                        self.depth.append(self.depth[node] + 1)
                     node = self.children[node][c]
                     self.allowed[node] = max(self.allowed[node], n)
                 weights[node] = max(weights[node], weight)
-                if fuzzy:
-                    self.edits[node] = n
+                self.edits[node] = n
         self._restart()
 
     def _restart(self) -> None:
@@ -77,6 +81,8 @@ class TermAutomaton:
         self.sets: list[frozenset] = [frozenset()]
         self.next: list[dict[str, int]] = [{}]
         self.value: list[float] = [0.0]
+        #: Prefix terms that are reached: letters and weight of each.
+        self.heads: list[list[tuple[int, float]]] = [[]]
         self.start = self._state(self._closed({0: 0}))
 
     def _closed(self, nodes: dict[int, int]) -> dict[int, int]:
@@ -97,11 +103,14 @@ class TermAutomaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            best = 0.0
+            best, heads = 0.0, []
             for node, used in nodes.items():
                 if self.word_of[node] and used <= self.edits[node]:
                     best = max(best, self.word_of[node] * EDIT_SHARE**used)
+                if self.prefix_of[node] and used <= self.edits[node]:
+                    heads.append((self.depth[node], self.prefix_of[node] * EDIT_SHARE**used))
             self.value.append(best)
+            self.heads.append(heads)
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -120,23 +129,37 @@ class TermAutomaton:
         self.next[state][c] = found
         return found
 
-    def weight(self, word: str) -> float:
-        """The weight of the best term that the word is, begins with, or is within its edits of; else 0."""
-        if word in self.words:
-            return self.words[word]
+    def _reached(self, word: str) -> tuple[float, float, list[tuple[int, float]]]:
+        """Weights of the best prefix term that the word begins with and of the best term that the whole word is near to,
+        and of each prefix term that a beginning is near to, with the length of the beginning.
+
+        Prefix terms come from longer words, so a word shorter than the term is none of them.
+        """
         if len(self.sets) > STATES:
             self._restart()
         state, node, best = self.start, 0, 0.0
-        for c in word:
+        near: list[tuple[int, float]] = []
+        for i, c in enumerate(word, 1):
             if node >= 0:
                 node = self.children[node].get(c, -1)
                 if node >= 0 and self.prefix_of[node] > best:
                     best = self.prefix_of[node]
             after = self.next[state].get(c)
             state = self._step(state, c) if after is None else after
+            if self.heads[state]:
+                near += [(i, weight) for length, weight in self.heads[state] if length <= len(word)]
             if not state and node < 0:
-                return best
-        return max(best, self.value[state]) if self.value[state] and word not in self.ordinary else best
+                break
+        return best, self.value[state], near
+
+    def weight(self, word: str) -> float:
+        """The weight of the best term that the word is, begins with, or is or begins within its edits of; else 0."""
+        if word in self.words:
+            return self.words[word]
+        best, whole, near = self._reached(word)
+        if (whole or near) and word not in self.ordinary:
+            best = max([best, whole, *(weight for i, weight in near if word[:i] not in self.beginnings)])
+        return best
 
     def misspelled(self, word: str) -> bool:
         """Whether the word is none of the terms and begins with none, but counts as one for its few edits."""
@@ -144,6 +167,10 @@ class TermAutomaton:
             return False
         return self.weight(word) > 0
 
+    def near_beginnings(self, word: str) -> list[str]:
+        """Beginnings of the word that are near to a prefix term."""
+        return [word[:i] for i in sorted({i for i, _ in self._reached(word)[2]})]
+
 
 def _bare(words: list[bytes]) -> list[str]:
     return [w.decode("utf-8", "replace").lower().strip(EDGES) for w in words]
@@ -255,8 +282,9 @@ def candidate_terms(rows: DataFrame) -> DataFrame:
 def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     """Words and prefixes with a weight each.
 
-    Terms are ranked by the likelihood ratio statistic G2 of their document counts. Of terms that begin alike
-    (one a prefix of the other) only the best is kept. The weight grows with the log odds ratio.
+    Terms are ranked by the likelihood ratio statistic G2 of their document counts. Of prefixes that begin alike
+    (one a prefix of the other) only the best is kept. Whole words beside a prefix are kept as well, beyond TERMS: they
+    may be longer than the prefix, and be misspelled in more letters. The weight grows with the log odds ratio.
     """
     toxic, other = rows.agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1))).first()
     toxic, other = toxic or 0, other or 0
@@ -281,46 +309,51 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     best = ranked.orderBy(F.desc("g2"), "prefix", F.desc(F.length("term")), "term").limit(CANDIDATES).collect()
     words: dict[str, float] = {}
     prefixes: dict[str, float] = {}
+    beside: dict[str, float] = {}
     for r in best:
-        if len(words) + len(prefixes) == TERMS:
-            break
         if any(r.term.startswith(p) or p.startswith(r.term) for p in prefixes):
+            if not r.prefix:
+                beside[r.term] = math.log(r.odds)
             continue
-        if any((r.prefix and w.startswith(r.term)) or w == r.term for w in words):
+        if len(words) + len(prefixes) == TERMS or (r.prefix and any(w.startswith(r.term) for w in words)):
             continue
         (prefixes if r.prefix else words)[r.term] = math.log(r.odds)
-    return words, prefixes
+    return words | beside, prefixes
 
 
-def ordinary_words(rows: DataFrame, automaton: TermAutomaton) -> frozenset[str]:
-    """Words that only edits make a term of, and that labelled documents do not show to be toxic."""
+def ordinary_words(rows: DataFrame, automaton: TermAutomaton) -> tuple[frozenset[str], frozenset[str]]:
+    """Words, and beginnings of words, that only edits make a term of, and that labelled documents do not show to be toxic."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        known: dict[str, list[tuple[str, bool]]] = {}
         for batch in batches:
             for part in slices(batch, "text"):
-                words, toxic = [], []
+                words, begins, toxic = [], [], []
                 for text, label in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
+                    found: set[tuple[str, bool]] = set()
                     for word in set(_bare((text or "").encode().split())):
                         if word not in known:
-                            known[word] = automaton.misspelled(word)
-                        if known[word]:
-                            words.append(word)
-                            toxic.append(label)
-                cols = [pa.array(words, pa.string()), pa.array(toxic, pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=["word", "toxic"])
-
-    found = mapped(rows, near, "word string, toxic int").groupBy("word")
+                            odd = automaton.misspelled(word)
+                            known[word] = [(word, False), *((b, True) for b in automaton.near_beginnings(word))] if odd else []
+                        found.update(known[word])
+                    for word, begin in found:
+                        words.append(word)
+                        begins.append(begin)
+                        toxic.append(label)
+                cols = [pa.array(words, pa.string()), pa.array(begins, pa.bool_()), pa.array(toxic, pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["word", "begins", "toxic"])
+
+    found = mapped(rows, near, "word string, begins boolean, toxic int").groupBy("word", "begins")
     found = found.agg(F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("n"), F.count(F.lit(1)).alias("docs"))
-    found = found.filter("n > 0 and 2 * n >= docs").orderBy(F.desc("n"), "word").limit(CANDIDATES)
-    return frozenset(r.word for r in found.collect())
+    best = found.filter("n > 0 and 2 * n >= docs").orderBy(F.desc("n"), "word", "begins").limit(2 * CANDIDATES).collect()
+    return frozenset(r.word for r in best if not r.begins), frozenset(r.word for r in best if r.begins)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[TermAutomaton, np.ndarray]:
     """The automaton of the learned lexicon, and the weights that turn evidence into a probability."""
     rows = labelled_rows(docs, labels, id_col, text_col)
     words, prefixes = learn_lexicon(rows)
-    automaton = TermAutomaton(words, prefixes, ordinary_words(rows, TermAutomaton(words, prefixes)))
+    automaton = TermAutomaton(words, prefixes, *ordinary_words(rows, TermAutomaton(words, prefixes)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -42,6 +42,38 @@ def test_prefix_terms_and_ordinary_words():
     assert automaton.weight("crash") == 0 and automaton.weight("thrash") > 0
 
 
+def test_misspelled_stems_of_prefix_terms():
+    rng = np.random.default_rng(5)
+    terms = {"achlich": 3.0, "réeux": 2.0, "boco": 4.0}
+    automaton = T.TermAutomaton({}, terms)
+    assert automaton.weight("aclicher") > 0 and automaton.weight("reeuxment") > 0 and automaton.weight("bxcoment") == 0
+    for t in [*terms, "sonst"]:
+        for _ in range(100):
+            w = list(t + "er"[: rng.integers(0, 3)])
+            for _ in range(rng.integers(0, 3)):
+                at, kind = rng.integers(0, len(w) + 1), rng.integers(0, 3)
+                w[at : at + (kind != 0)] = [] if kind == 1 else [str(rng.choice(list("achlirébo")))]
+            w, want = "".join(w), 0.0
+            for term, weight in terms.items():
+                n, d = int(len(term) >= T.ONE_EDIT), min(distance(w[:i], term) for i in range(len(w) + 1))
+                if d <= n and len(w) >= len(term) or w.startswith(term):
+                    want = max(want, weight * T.EDIT_SHARE**d)
+            assert abs(automaton.weight(w) - want) < 1e-9, w
+    guarded = T.TermAutomaton({}, terms, frozenset(), frozenset({"sachlich"}))
+    assert guarded.weight("sachlicher") == 0 and guarded.weight("aclicher") > 0
+
+
+def test_words_beside_a_prefix_are_learned(spark):
+    toxic = [(f"fine words achlich{end} here", 1) for end in ("er", "ig", "ung") for _ in range(14)]
+    clean = [(f"fine words sachlich{end} here", 0) for end in ("er", "ig") for _ in range(60)]
+    rows = spark.createDataFrame(toxic + clean, "text string, toxic int")
+    words, prefixes = T.learn_lexicon(rows)
+    assert "achlich" in prefixes and {"achlicher", "achlichig", "achlichung"} <= set(words)
+    automaton = T.TermAutomaton(words, prefixes, *T.ordinary_words(rows, T.TermAutomaton(words, prefixes)))
+    assert automaton.weight("aclicer") > 0 and automaton.weight("ahlichkeit") > 0
+    assert automaton.weight("sachlicher") == automaton.weight("sachlichkeit") == 0
+
+
 def test_quotation_and_neighbours():
     automaton = T.TermAutomaton({"moron": 4.0}, {})
     texts = ["you moron", 'they said "you moron" to me', "you moron moron", "fine words", None, ""]
