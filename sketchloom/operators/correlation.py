@@ -177,6 +177,35 @@ ESTIMATORS: dict[str, dict[tuple[str, str], str]] = {
 }
 
 
+#: Entropy of a numerical side that goes with each estimator; a categorical side has its plug-in entropy.
+ENTROPIES: dict[str, Callable[[np.ndarray], float]] = {
+    "MUTUAL_INFORMATION_DIFF_ENT": K.kl_entropy,
+    "MUTUAL_INFORMATION_DIFF_ENT_MIXED": K.kl_entropy_mixed,
+}
+
+
+def information(joined: DataFrame, estimator: str, x_type: str, y_type: str, by: list[str] = GROUP) -> DataFrame:
+    """(by, mi, n, ex, ey, nx, ny, nmi_sqrt, nmi_max, nmi_min) by one of ENTROPIES; class counts are null unless both are categorical.
+
+    Differential entropies may be negative or -inf, and normalized forms are plain quotients of them; NaN where
+    the divisor is 0 or the root of a negative number.
+    """
+    columns = ["mi", "n", "ex", "ey", "nx", "ny", "nmi_sqrt", "nmi_max", "nmi_min"]
+    if (x_type, y_type) == (CATEGORICAL, CATEGORICAL):
+        return mi_mle(joined, by).select(*by, *columns)
+    mi, numeric = KERNELS[ESTIMATORS[estimator][x_type, y_type]], ENTROPIES[estimator]
+    hx, hy = (K.entropy if t == CATEGORICAL else numeric for t in (x_type, y_type))
+    kernels = {"mi": mi, "n": lambda x, _: float(len(x)), "ex": lambda x, _: hx(x), "ey": lambda _, y: hy(y)}
+    out = grouped_many(joined, kernels, by).withColumn("n", F.col("n").cast("long"))
+
+    def per(bottom: Column) -> Column:
+        return _guarded(F.col("mi"), bottom, F.abs(bottom) > 1e-12)
+
+    product = F.col("ex") * F.col("ey")
+    forms = {"nmi_sqrt": per(F.sqrt(F.greatest(product, F.lit(0.0)))), "nmi_max": per(F.greatest("ex", "ey")), "nmi_min": per(F.least("ex", "ey"))}
+    return out.withColumns({**{c: F.lit(None).cast("long") for c in ("nx", "ny")}, **forms}).select(*by, *columns)
+
+
 def register_estimator(name: str, kernel: Callable[[np.ndarray, np.ndarray], float], types: list[tuple[str, str]]) -> None:
     """Add an estimator of one's own over two arrays, for some combinations of types."""
     KERNELS[name] = kernel

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.functions.aggregates import CATEGORICAL, NUMERICAL, handler
+from sketchloom.functions.aggregates import NUMERICAL, handler
 from sketchloom.functions import kernels as kernels_module
 from sketchloom.functions.hashing import murmur3
 from sketchloom.functions.stats import kurtosis_columns
-from sketchloom.operators.correlation import estimate, grouped_many, mi_mle, spearman
+from sketchloom.operators.correlation import estimate, grouped_many, information, mi_mle, spearman
 from sketchloom.operators.joins import join_sketches, left_join
 from sketchloom.operators.setops import hash_collisions, set_estimates
 from sketchloom.operators.sketch import SketchSpec, build_sketch
@@ -67,10 +67,10 @@ def correlation_stats(pairs: DataFrame, ids: DataFrame, specs: list[SketchSpec])
 
 
 def information_stats(pairs: DataFrame, ids: DataFrame, spec: SketchSpec, x_type: str, y_type: str, function: str) -> DataFrame:
-    """For each pair: mutual information of the left join and of the sketch join, and a rank-correlation bound.
+    """For each pair: mutual information, entropies and normalized forms of the left join and (``_est``) of the sketch join, and a rank-correlation bound.
 
-    The left side keeps its rows, the right is aggregated by ``function``, which must accept its type. Entropies,
-    class counts and normalized forms are those of two categorical columns and null for other types.
+    The left side keeps its rows, the right is aggregated by ``function``, which must accept its type. Numerical
+    columns have the entropies of MUTUAL_INFORMATION_DIFF_ENT_MIXED. Class counts are null unless both are categorical.
     """
     if y_type not in handler(function).accepts:
         raise ValueError(f"{function} does not accept {y_type}")
@@ -81,16 +81,12 @@ def information_stats(pairs: DataFrame, ids: DataFrame, spec: SketchSpec, x_type
     x_sketch = build_sketch(pairs, SketchSpec(spec.type, spec.budget, "NONE" if spec.type == "TUPSK" else "FIRST"))
     y_sketch = build_sketch(pairs, SketchSpec(spec.type, spec.budget, function))
     sample = join_sketches(x_sketch, y_sketch, ids)
-    estimator = "MUTUAL_INFORMATION_DIFF_ENT"
-    exact = estimate(full, estimator, x_type, out_type).select(*PAIR, F.col("value").alias("mi"), F.col("n").alias("rows"))
-    approx = estimate(sample, estimator, x_type, out_type).select(*PAIR, F.col("value").alias("mi_est"), F.col("n").alias("sample"))
+    estimator = "MUTUAL_INFORMATION_DIFF_ENT_MIXED"
+    exact = information(full, estimator, x_type, out_type).withColumnRenamed("n", "rows")
+    approx = information(sample, estimator, x_type, out_type).withColumnRenamed("n", "sample")
+    approx = approx.withColumnsRenamed({c: f"{c}_est" for c in approx.columns if c not in (*PAIR, "sample")})
     ranks = spearman(sample).select(*PAIR, F.col("value").alias("spearman_est"))
     out = exact.join(approx, PAIR, "left").join(ranks, PAIR, "left")
-    if (x_type, out_type) == (CATEGORICAL, CATEGORICAL):
-        out = out.join(mi_mle(sample).select(*PAIR, "ex", "ey", "nx", "ny", "nmi_sqrt", "nmi_max", "nmi_min"), PAIR, "left")
-    else:
-        kinds = {"ex": "double", "ey": "double", "nx": "long", "ny": "long", "nmi_sqrt": "double", "nmi_max": "double", "nmi_min": "double"}
-        out = out.withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
     rho = F.col("spearman_est")
     bound = F.when(F.abs(rho) < 1, -0.5 * (1 - 0.122 * F.pow(rho, 2.0) + 0.053 * F.pow(rho, 12.0)) * F.log(1 - rho * rho))
     return out.withColumns({"mi_bound": bound, "function": F.lit(function), "parameters": F.lit(sketch_name(spec))})
