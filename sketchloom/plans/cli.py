@@ -66,14 +66,14 @@ def pairwise(spark: SparkSession, a: argparse.Namespace) -> None:
     """Estimates against exact joins for all pairs of columns of a store."""
     pairs = store.read_store(spark, a.input)
     ids = combinations(store.read_catalog(spark, a.input), a.intra_dataset_combinations, a.max_columns)
-    ids = jobs.numeric_pairs(pairs, task_part(ids, a.total_tasks, a.task_id))
+    ids = task_part(ids, a.total_tasks, a.task_id)
     specs = [s for agg in parse_aggregations(a.aggregates) for s in parse_sketches(a.sketches, agg)]
     if a.job == "CORR_STATS":
-        out = jobs.correlation_stats(pairs, ids, specs)
+        out = jobs.correlation_stats(pairs, jobs.numeric_pairs(pairs, ids), specs)
     elif a.job == "CORR_PERF":
-        out = jobs.correlation_performance(pairs, ids, specs[0])
+        out = jobs.performance_report(pairs, jobs.numeric_pairs(pairs, ids), specs)
     else:
-        out = jobs.information_stats(pairs, ids, specs[0], NUMERICAL, NUMERICAL, specs[0].aggregate)
+        out = jobs.information_report(pairs, ids, specs)
     store.write_csv(out, a.output)
 
 

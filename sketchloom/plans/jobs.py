@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.functions.aggregates import NUMERICAL, handler
+from sketchloom.functions.aggregates import CATEGORICAL, NUMERICAL, handler
 from sketchloom.functions import kernels as kernels_module
 from sketchloom.functions.hashing import murmur3
 from sketchloom.functions.stats import kurtosis_columns
@@ -76,10 +78,12 @@ def information_stats(pairs: DataFrame, ids: DataFrame, spec: SketchSpec, x_type
         raise ValueError(f"{function} does not accept {y_type}")
     out_type = handler(function).output_type(y_type)
     left = pairs.select(F.col("pair_id").alias("x_id"), "k", F.col("v").alias("xv")).join(ids, "x_id")
-    right = pairs.groupBy("pair_id", "k").agg(handler(function).build(F.col("v"), F.col("ord")).alias("yv")).withColumnRenamed("pair_id", "y_id")
+    # A function is given columns of the type that it accepts only.
+    rights = pairs.join(ids.select(F.col("y_id").alias("pair_id")).distinct(), "pair_id", "left_semi")
+    right = rights.groupBy("pair_id", "k").agg(handler(function).build(F.col("v"), F.col("ord")).alias("yv")).withColumnRenamed("pair_id", "y_id")
     full = left.join(right, ["y_id", "k"])
     x_sketch = build_sketch(pairs, SketchSpec(spec.type, spec.budget, "NONE" if spec.type == "TUPSK" else "FIRST"))
-    y_sketch = build_sketch(pairs, SketchSpec(spec.type, spec.budget, function))
+    y_sketch = build_sketch(rights, SketchSpec(spec.type, spec.budget, function))
     sample = join_sketches(x_sketch, y_sketch, ids)
     estimator = "MUTUAL_INFORMATION_DIFF_ENT_MIXED"
     exact = information(full, estimator, x_type, out_type).withColumnRenamed("n", "rows")
@@ -92,6 +96,18 @@ def information_stats(pairs: DataFrame, ids: DataFrame, spec: SketchSpec, x_type
     return out.withColumns({"mi_bound": bound, "function": F.lit(function), "parameters": F.lit(sketch_name(spec))})
 
 
+def information_report(pairs: DataFrame, ids: DataFrame, specs: list[SketchSpec]) -> DataFrame:
+    """The information job of all wanted pairs and sketches, whatever their types; a pair is left out where the
+    sketch's function does not accept its right column.
+    """
+    parts = []
+    for spec in specs:
+        for x_type, y_type in product((NUMERICAL, CATEGORICAL), sorted(handler(spec.aggregate).accepts)):
+            part = information_stats(pairs, typed_pairs(pairs, ids, x_type, y_type), spec, x_type, y_type, spec.aggregate)
+            parts.append(part.withColumns({"x_type": F.lit(x_type), "y_type": F.lit(y_type)}))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def timed(spark: SparkSession, steps: dict[str, Callable[[], DataFrame]], repeats: int = 1) -> DataFrame:
     """(step, run, ns, rows): wall time of running each step to the end, for performance reports."""
     rows = []
@@ -116,6 +132,12 @@ def correlation_performance(pairs: DataFrame, ids: DataFrame, spec: SketchSpec,
     return timed(pairs.sparkSession, steps, repeats)
 
 
+def performance_report(pairs: DataFrame, ids: DataFrame, specs: list[SketchSpec]) -> DataFrame:
+    """Times of each sketch, with its parameters and function."""
+    parts = [correlation_performance(pairs, ids, s).withColumns({"parameters": F.lit(sketch_name(s)), "aggregate": F.lit(s.aggregate)}) for s in specs]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def information_performance(pairs: DataFrame, ids: DataFrame, spec: SketchSpec, x_type: str, y_type: str, function: str) -> DataFrame:
     """Times of the information job as a whole and of its exact join alone."""
 
@@ -167,8 +189,14 @@ def run_estimators(pairs: DataFrame, ids: DataFrame, spec: SketchSpec, estimator
     return out.select(*PAIR, "estimator", "value", "n")
 
 
+def typed_pairs(pairs: DataFrame, ids: DataFrame, x_type: str, y_type: str) -> DataFrame:
+    """The wanted pairs whose columns have these types."""
+    kinds = pairs.select("pair_id", "value_type").distinct()
+    for side, kind in zip(PAIR, (x_type, y_type)):
+        ids = ids.join(kinds.filter(F.col("value_type") == kind).select(F.col("pair_id").alias(side)), side)
+    return ids.select(*PAIR)
+
+
 def numeric_pairs(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """The wanted pairs both of whose columns are numerical."""
-    kinds = pairs.select("pair_id", "value_type").distinct().filter(F.col("value_type") == NUMERICAL).select("pair_id")
-    left = ids.join(kinds.withColumnRenamed("pair_id", "x_id"), "x_id")
-    return left.join(kinds.withColumnRenamed("pair_id", "y_id"), "y_id").select(*PAIR)
+    return typed_pairs(pairs, ids, NUMERICAL, NUMERICAL)

@@ -22,3 +22,21 @@ def test_store_index_and_query(spark, tmp_path):
     assert {h.hit for h in hits} == {"a.csv/key:value", "b.csv/key:value"}
     with pytest.raises(SystemExit):
         main(["nothing"], spark)
+
+
+def test_pairwise_runs_all_types_and_sketches(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, sign in (("a", 1), ("b", -1)):
+        lines = "".join(f"k{i},c{i % 3},{sign * i * 1e9}\n" for i in range(30))
+        (tmp_path / "in" / f"{name}.csv").write_text("key,kind,value\n" + lines)
+    folder = lambda n: str(tmp_path / n)
+    main(["create-store", "--input", folder("in"), "--output", folder("store")], spark)
+    job = ["pairwise", "--input", folder("store"), "--sketches", "KMV:16,TUPSK:8"]
+    main([*job, "--job", "MI", "--aggregates", "MEAN,MOST_FREQUENT", "--output", folder("mi")], spark)
+    found = {(r.parameters, r.function, r.x_type, r.y_type) for r in spark.read.option("header", "true").csv(folder("mi")).collect()}
+    kinds, sketches = ("NUMERICAL", "CATEGORICAL"), ("KMV:16", "TUPSK:8")
+    accepted = (("MEAN", "NUMERICAL"), ("MOST_FREQUENT", "CATEGORICAL"))
+    assert found == {(s, f, x, y) for s in sketches for f, y in accepted for x in kinds}
+    main([*job, "--job", "CORR_PERF", "--aggregates", "MEAN,MAX", "--output", folder("perf")], spark)
+    perf = spark.read.option("header", "true").csv(folder("perf")).collect()
+    assert {(r.parameters, r["aggregate"]) for r in perf} == {(s, f) for s in sketches for f in ("MEAN", "MAX")}
