@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.shared import bitmap_of, with_bitmap_test, without_ids
+from sketchloom.llm.shared import bitmap_of, text_key, with_bitmap_test, without_rows
 
 #: Characters that the second level hashes.
 PREFIX_CHARS = 128
@@ -70,7 +70,7 @@ def exact_dedup(
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text another row with a larger doc_id has too, all columns kept.
 
-    Rows without id stay. A repeated row with the id that stays remains as it is.
+    Rows without id stay. A repeated row with the id that stays remains as it is, and so do other texts of an id.
     """
-    gone = exact_dedup(docs, id_col, text_col).filter("not kept").select("doc_id")
-    return without_ids(docs, id_col, gone)
+    gone = exact_dedup(docs, id_col, text_col, {"_key": text_key(F.col(text_col))}).filter("not kept").select("doc_id", "_key")
+    return without_rows(docs, id_col, text_col, gone)

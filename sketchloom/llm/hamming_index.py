@@ -214,7 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_groups(prints: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of (doc_id, fp).
+    """(doc_id, fp, component_id) for each row of (doc_id, fp); a further ``key`` of the rows is kept.
 
     Rows with equal fingerprints are one node, so a group of copies costs one node however large it is; a
     link joins nodes that differ in at most MAX_BITS bits. component_id is the smallest doc_id reachable, null
@@ -225,4 +225,4 @@ def near_groups(prints: DataFrame) -> DataFrame:
     labelled = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = labelled.join(least, "label").select(F.col("fp").alias("node_fp"), "component_id")
-    return prints.join(found, prints["fp"] == found["node_fp"]).select("doc_id", "fp", "component_id")
+    return prints.join(found, prints["fp"] == found["node_fp"]).select(*prints.columns, "component_id")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sketchloom.llm.hamming_index import near_groups
-from sketchloom.llm.shared import without_ids, written
+from sketchloom.llm.shared import text_key, without_rows, written
 from sketchloom.llm.simhash import with_fingerprints
 
 
@@ -21,7 +22,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; all columns kept.
 
-    Rows without id stay, as do repeated rows with the id that stays.
+    Rows without id stay, as do repeated rows with the id that stays, and texts of an id that are near to none.
     """
-    gone = simhash_groups(docs, id_col, text_col).filter("doc_id <> component_id").select("doc_id")
-    return without_ids(docs, id_col, gone)
+    prints = written(with_fingerprints(docs, id_col, text_col, text_key(F.col(text_col))), "simhash-prints")
+    gone = near_groups(prints).filter("doc_id <> component_id").select("doc_id", "key")
+    return without_rows(docs, id_col, text_col, gone)

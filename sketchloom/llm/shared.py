@@ -83,12 +83,18 @@ def with_bitmap_test(df: DataFrame, bitmap: DataFrame, key: Column, name: str, w
     return joined.withColumn(name, hit).drop("__sl_at", "__sl_pos", "__sl_word", "__sl_mask")
 
 
-def without_ids(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in the one column of ``gone``; all columns kept, null ids too.
+def text_key(text: Column) -> Column:
+    """A hash that tells apart the texts of one id; a null text counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and ``text_key`` are a row of ``gone``; all columns kept, null ids too.
 
     Rows that a bitmap of the ids rules out pass at once; only the few others are shuffled to meet the ids.
     """
-    gone = gone.toDF("__sl_gone").filter("__sl_gone is not null")
+    gone = gone.toDF("__sl_gone", "__sl_key").filter("__sl_gone is not null")
     tested = with_bitmap_test(docs, bitmap_of(gone, F.col("__sl_gone")), F.col(id_col), "__sl_hit")
-    maybe = tested.filter("__sl_hit").join(gone, F.col(id_col) == F.col("__sl_gone"), "left_anti")
+    same = (F.col(id_col) == F.col("__sl_gone")) & (text_key(F.col(text_col)) == F.col("__sl_key"))
+    maybe = tested.filter("__sl_hit").join(gone, same, "left_anti")
     return tested.filter("not __sl_hit").unionByName(maybe).select(*docs.columns)

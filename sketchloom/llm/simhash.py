@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.shared import mapped
@@ -110,15 +110,19 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     return result
 
 
-def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long, 0 for a text without words or null."""
+def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """(doc_id, fp) of each row, and its ``key`` (a long) if one is wanted; fp is the fingerprint as a signed long, 0 for a text without words or null."""
+
+    keyed = key is not None
+    names = ["doc_id", "fp", *(["key"] if keyed else [])]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 fp = fingerprints(part.column("text")).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+                cols = [part.column("doc_id"), pa.array(fp), *([part.column("key")] if keyed else [])]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([key.alias("key")] if keyed else []))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return mapped(src, measure, f"doc_id {kind}, fp long")
+    return mapped(src, measure, f"doc_id {kind}, fp long" + (", key long" if keyed else ""))

@@ -37,3 +37,15 @@ def test_run(spark):
     rows = P.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
     assert np.unique([r.doc_id for r in rows]).size <= 200
+
+
+def test_dedup_keeps_other_texts_of_an_id(spark):
+    words = [f"w{i}" for i in range(300)]
+    a, near, b = " ".join(words), " ".join([*words[:299], "other"]), " ".join(f"v{i}" for i in range(300))
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(7, a), (9, a), (7, b), (None, a)], schema)
+    want = sorted([(9, a), (7, b), (None, a)], key=str)
+    assert sorted(map(tuple, P.exact_copies(spark, docs, "").collect()), key=str) == want
+    docs = spark.createDataFrame([(7, a), (5, near), (7, b), (None, a)], schema)
+    want = sorted([(5, near), (7, b), (None, a)], key=str)
+    assert sorted(map(tuple, P.near_copies(spark, docs, "").collect()), key=str) == want
