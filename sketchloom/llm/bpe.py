@@ -1,4 +1,4 @@
-"""BPE encoding and decoding with the tokenizers library, by words and by tree concatenation of long pieces."""
+"""BPE encoding and decoding by tree concatenation: texts and long pieces in halves, leaves by the tokenizers library."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,12 +19,14 @@ from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from sketchloom.llm.shared import mapped
-from sketchloom.llm.wordspan import Words, slices, span_hashes
+from sketchloom.llm.wordspan import SPACE, Words, slices, span_hashes
 
 #: A word of so many bytes or more is split into halves, quarters and so on down to pieces below it.
 LONG_BYTES = 2048
-#: Tokens on each side of a join in the first window.
-WINDOW = 8
+#: A text of so many bytes or more is cut into halves, quarters and so on down to leaves below it.
+LEAF_BYTES = 2048
+#: Tokens on each side of a join in the first window inside a piece, and words on each side in that between leaves.
+WINDOW, WINDOW_WORDS = 8, 1
 #: Pieces that each of the two generations of a worker's memory holds at most, but for those of one slice.
 MEMORY_PIECES = 1 << 18
 #: Pieces that are handed to the library at once.
@@ -69,14 +72,50 @@ def _merges(model: dict) -> list[tuple[str, ...]]:
     return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
 
 
+def _laid_out(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Indexes at, at + 1, ... of n values for each entry, one entry after the other."""
+    upto = np.cumsum(n)
+    return np.repeat(at - (upto - n), n) + np.arange(int(upto[-1]) if len(n) else 0)
+
+
+def _cuts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the leaves of all texts, and the depth of each text's tree (it has 2**depth leaves, some maybe empty).
+
+    A cut stands before a character, mostly inside a word; one inside a run of LONG_BYTES or more without ASCII
+    white space moves to the run's end, since such words have a tree of their own.
+    """
+    size = np.diff(offsets)
+    depth = np.zeros(len(size), np.int64)
+    while (deeper := (size >> depth) >= LEAF_BYTES).any():
+        depth[deeper] += 1
+    leaves = 1 << depth
+    text = np.repeat(np.arange(len(size)), leaves - 1)
+    place = _laid_out(np.ones(len(size), np.int64), leaves - 1)
+    cuts, end = offsets[text] + size[text] * place // leaves[text], offsets[text + 1]
+    if len(cuts):
+        for _ in range(3):
+            inner = cuts < end
+            cuts[inner] += (buf[cuts[inner]] & 0xC0) == 0x80
+        spaces = np.flatnonzero(SPACE[buf])
+        at = np.searchsorted(spaces, cuts)
+        after = np.minimum(np.append(spaces, len(buf))[at], end)
+        before = np.maximum(np.insert(spaces, 0, -1)[at], offsets[text] - 1)
+        cuts = np.where(after - before > LONG_BYTES, after, cuts)
+    return np.sort(np.concatenate([offsets, cuts])), depth
+
+
 class WordEncoder:
     """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False).ids``.
 
     The tokenizer's pre-tokenizer drops white space and no normalizer joins characters across it, so a text's
     ids are those of its words (separated by ASCII white space), one after the other. Each distinct word is
     encoded once while it is remembered; the memory holds a bounded number of pieces in two generations.
+    A tokenizer that keeps white space is refused.
     """
 
+    # Texts in which white space must leave no trace.
+    PROBES = ("a b", " a", "a ", "ab  cd", "a\nb", "\t1", "a \r\n . b")
+
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
@@ -85,6 +124,10 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         model = spec["model"]
+        for probe in self.PROBES:
+            apart = [i for word in probe.split() for i in self.tokenizer.encode(word, add_special_tokens=False).ids]
+            if self.tokenizer.encode(probe, add_special_tokens=False).ids != apart:
+                raise ValueError(f"the tokenizer does not drop white space: {path}")
         self.suffix = model.get("end_of_word_suffix") or ""
         # Pieces that end a word, without normalizer; many may be joined by spaces, which no symbol is.
         self.ending = Tokenizer(BPE(vocab=model["vocab"], merges=_merges(model), cache_capacity=0, end_of_word_suffix=self.suffix))
@@ -98,6 +141,8 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        #: Joins of leaves so far, and windows that had to grow.
+        self.joins = self.grown = 0
         # What _pieces may assume: lower case and Unicode composition, letters apart from other characters.
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         cut = [p["type"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -119,33 +164,61 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each text."""
-        with _threads("false"):  # tasks are parallel already; threads for single words cost more than they save
-            return self._encode(column)
-
-    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = Words(column)
-        buf, starts, ends, doc = self._pieces(words)
-        if not len(starts):
-            return np.zeros(0, self.dtype), np.zeros(words.n_texts, np.int64)
-        _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        packed = self._packed(buf, starts[first], ends[first])
+        ids, n = self.encode_words(words)
+        return ids, np.bincount(words.doc, weights=n, minlength=words.n_texts).astype(np.int64)
+
+    def encode_words(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and the number of ids of each word."""
+        with _threads("false"):  # tasks are parallel already; threads for single words cost more than they save
+            buf, starts, ends, word = self._pieces(words)
+            if not len(starts):
+                return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+            _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+            packed = self._packed(buf, starts[first], ends[first])
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
         pool, at = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(sizes) - sizes
         n = sizes[which]
-        upto = np.cumsum(n)
-        ids = pool.take(np.repeat(at[which] - (upto - n), n) + np.arange(int(upto[-1])))
-        return ids, np.bincount(doc, weights=n, minlength=words.n_texts).astype(np.int64)
+        ids = pool.take(_laid_out(at[which], n))
+        return ids, np.bincount(word, weights=n, minlength=len(words.starts)).astype(np.int64)
+
+    def encode_by_tree(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What ``encode`` returns, by tree concatenation of the halves of each text.
+
+        A text of LEAF_BYTES or more is cut into halves, quarters and so on, wherever that is. All leaves are
+        encoded at once, as if each were a text, and neighbours are joined level by level. At a join, a window of words
+        on both sides is encoded again as it stands in the text, pre-tokenization included. If its first word
+        has the place and the ids that the left side gave it, and its last word those of the right side, the window
+        replaces what the sides had there, since words do not depend on each other; else it grows on the side that
+        disagrees. A window that has reached the end of a side agrees with it.
+        """
+        texts = pc.fill_null(column, "").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8)
+        buf = (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        bounds, depth = _cuts(buf, offsets)
+        tree = _Spans(self, buf, bounds)
+        first = np.cumsum(1 << depth) - (1 << depth)
+        for level in range(int(depth.max(initial=0))):
+            n = np.where(depth > level, (1 << depth) >> (level + 1), 0)
+            middle = np.repeat(first, n) + (_laid_out(np.zeros(len(n), np.int64), n) << (level + 1)) + (1 << level)
+            tree.join(bounds[middle - (1 << level)], bounds[middle], bounds[middle + (1 << level)])
+        text = np.searchsorted(offsets, tree.starts, "right") - 1
+        ids = tree.ids.take(_laid_out(tree.at, tree.n))
+        return ids, np.bincount(text, weights=tree.n, minlength=len(texts)).astype(np.int64)
 
     def _pieces(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes, and starts, ends and texts of pieces whose ids, one after the other, are those of the texts.
+        """Bytes, and starts, ends and words of pieces whose ids, one after the other, are those of the texts.
 
         Pieces are words. Where the tokenizer is known to allow it, marks after a last letter or digit are a
         piece of their own, and the letters of a word wholly in ASCII and the letters of Latin-1 are written
         small, so that fewer pieces differ. Words with "<" might hold a special token and stay as they are.
         """
-        buf, starts, ends, doc = w.buf, w.starts, w.ends, w.doc
+        buf, starts, ends = w.buf, w.starts, w.ends
+        word = np.arange(len(starts))
         if not self.plain or not len(starts):
-            return buf, starts, ends, doc
+            return buf, starts, ends, word
 
         def has(flags: np.ndarray) -> np.ndarray:
             sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
@@ -169,7 +242,7 @@ class WordEncoder:
         out_starts, out_ends = np.empty(n, np.int64), np.empty(n, np.int64)
         out_starts[at], out_ends[at] = starts, np.where(two, core, ends)
         out_starts[at[two] + 1], out_ends[at[two] + 1] = core[two], ends[two]
-        return small, out_starts, out_ends, np.repeat(doc, 1 + two)
+        return small, out_starts, out_ends, np.repeat(word, 1 + two)
 
     def _packed(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The ids of distinct pieces, each packed as ``dtype``."""
@@ -295,6 +368,73 @@ class WordEncoder:
         return " ".join([tokens[i] for i in ids.tolist()])
 
 
+class _Spans:
+    """The words of the leaves of some texts, with their ids; joins turn them into the words of the texts.
+
+    Leaves are encoded some at a time, so what is held of a very long text are its words' places and ids.
+    """
+
+    def __init__(self, enc: WordEncoder, buf: np.ndarray, bounds: np.ndarray):
+        self.enc, self.buf = enc, buf
+        parts, low = [], 0
+        while low < len(bounds) - 1:
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_BYTES, "right")) - 1)
+            high = min(high, len(bounds) - 1)
+            parts.append(self._encoded(bounds[low:high], np.diff(bounds[low : high + 1]))[:4])
+            low = high
+        parts = parts or [self._encoded(bounds[:0], bounds[:0])[:4]]
+        self.starts, self.ends, self.n, self.ids = (np.concatenate(x) for x in zip(*parts))
+        self.at = np.cumsum(self.n) - self.n
+
+    def _encoded(self, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Starts, ends, numbers of ids, ids and ranges of the words in parts of the bytes, each taken as a text."""
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        together = len(place) > 0 and bool((place[1:] == place[:-1] + size[:-1]).all())
+        held = self.buf[place[0] : place[-1] + size[-1]] if together else self.buf[_laid_out(place, size)]
+        column = pa.LargeStringArray.from_buffers(len(place), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(held)))
+        words = Words(column)
+        ids, n = self.enc.encode_words(words)
+        moved = (place - offsets[:-1])[words.doc]
+        return words.starts + moved, words.ends + moved, n, ids, words.first
+
+    def join(self, low: np.ndarray, cut: np.ndarray, high: np.ndarray) -> None:
+        """Join the words in [low, cut) with those in [cut, high), for many joins that do not touch each other."""
+        first, middle, last = (np.searchsorted(self.starts, x) for x in (low, cut, high))
+        some = (first < middle) & (middle < last)
+        first, middle, last = first[some], middle[some], last[some]
+        self.enc.joins += len(middle)
+        left = right = np.full(len(middle), WINDOW_WORDS)
+        alive = np.ones(len(self.starts), bool)
+        while len(middle):
+            a, b = np.maximum(middle - left, first), np.minimum(middle + right, last)
+            starts, ends, n, ids, upto = self._encoded(self.starts[a], self.ends[b - 1] - self.starts[a])
+            at = np.cumsum(n) - n
+
+            def agrees(old: np.ndarray, new: np.ndarray) -> np.ndarray:
+                same = (self.starts[old] == starts[new]) & (self.ends[old] == ends[new]) & (self.n[old] == n[new])
+                rows = np.flatnonzero(same)
+                differ = self.ids[_laid_out(self.at[old[rows]], n[new[rows]])] != ids[_laid_out(at[new[rows]], n[new[rows]])]
+                same[np.repeat(rows, n[new[rows]])[differ]] = False
+                return same
+
+            left_agrees = (a == first) | agrees(a, upto[:-1])
+            right_agrees = (b == last) | agrees(b - 1, upto[1:] - 1)
+            done = left_agrees & right_agrees
+            words = np.diff(upto)
+            new = _laid_out(upto[:-1][done], words[done])
+            old = _laid_out(a[done], words[done])
+            self.starts[old], self.ends[old], self.n[old] = starts[new], ends[new], n[new]
+            self.at[old] = at[new] + len(self.ids)
+            alive[_laid_out((a + words)[done], (b - a - words)[done])] = False
+            if done.any():
+                self.ids = np.concatenate([self.ids, ids])
+            left, right = np.where(left_agrees, left, 2 * left)[~done], np.where(right_agrees, right, 2 * right)[~done]
+            first, middle, last = first[~done], middle[~done], last[~done]
+            self.enc.grown += len(middle)
+        if not alive.all():
+            self.starts, self.ends, self.n, self.at = (x[alive] for x in (self.starts, self.ends, self.n, self.at))
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -308,17 +448,20 @@ def encoder(path: str) -> WordEncoder:
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, ids (array of int) and decoded, the text that the ids stand for.
 
-    ids are exactly those of the tokenizers library for the whole text, special tokens not added, without
-    truncation or padding; strings of special tokens in a text become those tokens. decoded is the library's
-    decoding of all ids. A null or empty text has no ids and decodes to the empty string. Rows are mapped
-    one by one in bounded slices: no shuffle; repeated rows are encoded each, an empty table gives no rows.
+    Texts are encoded by tree concatenation (``encode_by_tree``): halves of a text, down to leaves below LEAF_BYTES,
+    are encoded together, and windows that grow round each join are encoded again until both sides agree. ids are
+    exactly those of the tokenizers library for the whole text, special tokens not added, without truncation or
+    padding; strings of special tokens in a text become those tokens. decoded is the library's decoding of all ids.
+    A null or empty text has no ids and decodes to the empty string. Rows are mapped one by one in slices of
+    SLICE_BYTES, a longer text alone, its leaves some at a time: no shuffle; repeated rows are encoded each, an empty
+    table gives no rows. Other columns play no part, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                ids, counts = enc.encode(part.column("text"))
+                ids, counts = enc.encode_by_tree(part.column("text"))
                 ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
                 decoded = pa.array([enc.decode(ids[a:b]) for a, b in zip(ends, ends[1:])], pa.string())

@@ -16,8 +16,8 @@ SLICE_BYTES = 1 << 19
 #: Bytes that one polynomial block covers.
 BLOCK = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def _draw(n: int, seed: int) -> np.ndarray:
@@ -100,7 +100,7 @@ class Words:
         self.buf = raw[at[0] : at[-1]]
         self.offsets = at - at[0]
         self.n_texts = len(column)
-        word = ~_SPACE[self.buf]
+        word = ~SPACE[self.buf]
         self.word_bytes = word
         if len(self.buf):
             first = np.empty(len(word), bool)

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import zlib
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from sketchloom.llm import bpe, token_files
-from sketchloom.llm.queries import tokenizer_path
+from sketchloom.llm.queries import queries, tokenizer_path
 from sketchloom.llm.wavelet import TokenFile, encode_file
 
 PATH = tokenizer_path()
@@ -66,6 +67,60 @@ def test_tree_concatenation(encoder, library, monkeypatch):
         assert encoder.encode_long(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def by_tree(encoder, texts):
+    flat, counts = encoder.encode_by_tree(pa.array(texts, pa.string()))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return [flat[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
+def test_tree_of_documents(library, small):
+    encoder = bpe.WordEncoder(PATH)
+    texts = [r.text for r in small.collect()]
+    assert by_tree(encoder, texts) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    leaves = sum(1 << max(0, (len(t.encode()) // bpe.LEAF_BYTES).bit_length()) for t in texts)
+    assert encoder.joins > len(texts) / 4 and encoder.joins <= leaves and encoder.grown > 0
+
+
+@given(st.lists(st.one_of(TRICKY, st.text(max_size=60), st.sampled_from(["ab" * 40, "x<|endoftext|>. " * 5])), max_size=6), st.integers(2, 40))
+@settings(max_examples=200, deadline=None)
+def test_tree_of_any_text(encoder, library, texts, leaf):
+    texts = [t.encode("utf-8", "replace").decode() for t in texts]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "LEAF_BYTES", leaf)
+        patch.setattr(bpe, "LONG_BYTES", 3 * leaf)
+        patch.setattr(bpe, "SLICE_BYTES", 5 * leaf)
+        assert by_tree(encoder, texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tree_of_a_huge_text(encoder, library):
+    piece = "the Quick brown fox's 12 jumps, " * 1000
+    text = piece * 60 + "z" * 300_000 + piece
+    assert by_tree(encoder, [text, None, "a b"]) == [library.encode(t, add_special_tokens=False).ids for t in (text, "", "a b")]
+
+
+def test_registered_round_trip(spark, small, library):
+    def sha(s):
+        return hashlib.sha256(s.encode()).hexdigest()
+
+    want = []
+    for r in small.collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids))), sha(decoded)))
+    rows = queries()["op7_bpe_round_trip"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == sorted(want)
+
+
+def test_registered_token_files(spark, small, library):
+    rows = queries()["op6_token_files"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows), key=str) == expected(small.collect(), library)
+
+
+def test_tokenizers_that_keep_white_space_are_refused():
+    with pytest.raises(ValueError, match="white space"):
+        bpe.WordEncoder(PATH.replace("word_bpe_49k", "byte_bpe_50k"))
+
+
 def test_round_trip_query(spark, odd_docs, no_docs, library):
     rows = bpe.bpe_round_trip(odd_docs, PATH).collect()
     texts = [r.text or "" for r in odd_docs.collect()]
