@@ -13,7 +13,7 @@ from sketchloom.llm.langid import fit_languages, identify
 from sketchloom.llm.mixing import mix_plan
 from sketchloom.llm.near_dedup import simhash_groups
 from sketchloom.llm.quality import quality_verdicts
-from sketchloom.llm.secrets import BASE_KINDS, KINDS, listed, secret_scan
+from sketchloom.llm.secrets import BARE, BASE_KINDS, EDGES, EXAMPLE_OWNERS, KINDS, LIVE_CHARS, LIVE_LENGTH, listed, secret_scan
 from sketchloom.llm.shared import read_table
 from sketchloom.llm.substring_dedup import remove_repeated
 from sketchloom.llm.token_files import new_folder, read_token_files, write_token_files
@@ -111,16 +111,20 @@ def _op9_sql() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
 raw AS ({" UNION ALL ".join(parts)}),
-pos AS (SELECT rid, source, o, v[i] AS value, length(m[i]) AS n,
-               coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS s
-        FROM raw WHERE length(v[i]) >= least),
-freq AS (SELECT value, count(DISTINCT source) AS owners FROM pos GROUP BY value),
-span AS (SELECT rid, o, s, {names}[o + 1] || ':' || s || ':' || (s + n) AS line, owners,
-                length(value) >= 16 AND len(list_distinct(string_split(value, ''))) >= 8 AS looks_live
-         FROM pos JOIN freq USING (value)),
+every AS (SELECT rid, source, o, regexp_replace(v[i], '{EDGES}', '', 'g') AS value, length(m[i]) AS n,
+                 coalesce(list_sum([length(x) FOR x IN g[1:i]]), 0) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS s,
+                 length(v[i]) >= {LIVE_LENGTH} AND len(list_distinct(string_split(v[i], ''))) >= {LIVE_CHARS} AS looks_live
+          FROM raw WHERE length(v[i]) >= least),
+pos AS (SELECT * FROM every WHERE o < {BARE}
+        UNION ALL SELECT * FROM every WHERE o = {BARE} AND looks_live AND value IN (SELECT value FROM every WHERE o < {BARE} AND looks_live)),
+freq AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS owners FROM pos GROUP BY value),
+span AS (SELECT rid, o, s, {names}[o + 1] || ':' || s || ':' || (s + n) AS line, owners, looks_live
+         FROM pos AS p JOIN freq USING (value)
+         WHERE o < {BARE} OR (owners < {EXAMPLE_OWNERS} AND NOT EXISTS (
+             SELECT 1 FROM pos AS q WHERE q.rid = p.rid AND q.o < {BARE} AND q.s < p.s + p.n AND p.s < q.s + q.n))),
 agg AS (SELECT rid, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
                string_agg(line, ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(line, ',' ORDER BY s, o) AS spans,
-               count(*) FILTER (owners >= 3) AS n_example, count(*) FILTER (owners < 3 AND looks_live) AS n_live
+               count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example, count(*) FILTER (owners < {EXAMPLE_OWNERS} AND looks_live) AS n_live
         FROM span GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example,

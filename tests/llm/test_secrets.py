@@ -1,7 +1,10 @@
 import hashlib
 import re
 
+import duckdb
+
 from sketchloom.llm import secrets as S
+from sketchloom.llm.queries import oracle_sql, queries
 
 BASE = [(k, re.compile(p), g, n) for k, p, g, n in [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -51,6 +54,34 @@ def test_ownership(spark):
     assert [got[i].spans[0].verdict for i in (20, 21, 22)] == ["live", "live", "weak"]
 
 
+def test_live_values_are_found_bare(spark):
+    own, copied = "Zz9Yy8Xx7Ww6Vv5Uu4", "AbCdEf0123456789xyz"
+    data = [
+        (1, f"secret={own}.", "r1"), (2, f"see {own}. And {own} at x={own}", "r1"), (3, f"no{own}", "r1"), (4, f"token: '{own}' {own}", "r1"),
+        (5, f"the {copied} key", "r2"), (6, f"token={copied}", "r3"), (7, f"token={copied}", "r4"), (8, "Qq1Ww2Ee3Rr4Tt5Yy6 alone", "r1"),
+    ]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = rows(df)
+    assert got[1].all == "assign:0:26" and got[3].all == got[8].all == ""
+    places = [m.start() for m in re.finditer(own, data[1][1])]
+    assert got[2].all == ",".join(f"bare:{p}:{p + len(own)}" for p in places)
+    assert got[4].all == f"assign:0:{8 + len(own)},bare:{10 + len(own)}:{10 + 2 * len(own)}"
+    assert got[5].all == "" and got[6].spans[0].n_owners == 3 and got[6].spans[0].verdict == "example"
+
+
+def test_registered_query_equals_its_sql(spark, tmp_path):
+    own = "Zz9Yy8Xx7Ww6Vv5Uu4"
+    texts = [*TEXTS, f"secret={own}", f"é {own} and ={own}= {own}.", f"token={own}..", "secret=.hidden-value-0123456789.", "hidden-value-0123456789 x"]
+    data = [(i, t, [None, "a", "b", "c"][i % 4]) for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.sql(oracle_sql()["op9_secret_scan"])
+    names, want = found.columns, found.fetchall()
+    got = [tuple(r[n] for n in names) for r in queries()["op9_secret_scan"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and any("bare" in r[names.index("spans")] for r in want)
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert S.secret_scan(odd_docs).count() == odd_docs.count()
     assert S.secret_scan(no_docs).count() == 0
