@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from sketchloom.llm.shared import mapped
 from sketchloom.llm.wordspan import Words, mixed, slices, span_hashes
 
-#: Labelled documents of each language, and of all, and pieces of a document that are read at most for training.
-DOCS_PER_LANG, MAX_DOCS, PIECES_PER_DOC = 400, 4000, 150
+#: The bounded sample for training: labelled documents of each language at most, and of all. With more than MAX_DOCS /
+#: DOCS_PER_LANG languages each gets fewer, down to one document for each of the MAX_DOCS most frequent languages.
+DOCS_PER_LANG, MAX_DOCS = 400, 4000
+#: Different (language, piece) pairs that the driver trains on at most; the whole sampled texts are read.
+PIECES = 1 << 18
 HIDDEN, STEPS, BATCH, RATE, SEED = 12, 700, 512, 0.01, 5
 #: Longest sequence; a longer word is cut into sequences of this length.
 LONGEST = 32
@@ -206,42 +209,52 @@ def fold(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % n
 
 
-def training_pieces(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, piece, n) of a bounded sample of labelled documents outside the held-out fold.
+def training_ids(docs: DataFrame, id_col: str, lang_col: str) -> DataFrame:
+    """(_id) of the bounded sample: at most MAX_DOCS ids, taken by their rank within their language.
 
-    The documents are the first of each language in the order of a hash of the id; of each, the pieces are
-    those with the smallest hashes in the whole text.
+    Ranks follow a hash of the id. A first count of each language gives the share of hashes among which its
+    sample is sure to lie, so that few rows of a language, however large, meet in the task that ranks them.
     """
+    fit = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang"))
+    fit = fit.filter((fold(F.col("_id"), 4) != 2) & F.col("_lang").isNotNull())
+    counts = fit.groupBy(F.col("_lang").alias("_name")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = F.broadcast(counts.orderBy(F.desc("_n"), "_name").limit(MAX_DOCS))
+    place = F.shiftrightunsigned(F.xxhash64("_id"), 11) / F.lit(float(1 << 53))
+    fit = fit.withColumn("_place", place).join(counts, F.col("_lang") == F.col("_name"))
+    fit = fit.filter(F.col("_place") * F.col("_n") <= 2 * DOCS_PER_LANG + 100).select("_id", "_lang", "_place").distinct()
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_place", "_id"))
+    fit = fit.withColumn("_rank", rank).filter(F.col("_rank") <= DOCS_PER_LANG)
+    return fit.orderBy("_rank", "_place", "_id").limit(MAX_DOCS).select("_id")
+
+
+def training_pieces(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, piece, n) of the sampled documents: every piece of their whole texts, with its number of occurrences."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 _, buf, starts, ends, doc = _letter_words(part.column("text"))
-                hashes = span_hashes(buf, starts, ends)
-                raw, lang, pieces, ns = part.column("lang").to_pylist(), [], [], []
+                names, code = np.unique(np.array(part.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+                key = mixed(span_hashes(buf, starts, ends) + code[doc].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                _, first, n = np.unique(key, return_index=True, return_counts=True)
                 data = buf.tobytes()
-                for d in range(part.num_rows):
-                    rows = np.flatnonzero(doc == d)
-                    _, first, n = np.unique(mixed(hashes[rows]), return_index=True, return_counts=True)
-                    for i, k in zip(rows[first[:PIECES_PER_DOC]], n[:PIECES_PER_DOC]):
-                        lang.append(raw[d])
-                        pieces.append(data[starts[i] : ends[i]])
-                        ns.append(int(k))
-                cols = [pa.array(lang, pa.string()), pa.array(pieces, pa.binary()), pa.array(ns, pa.int64())]
+                pieces = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+                lang = names[code[doc[first]]].tolist()
+                cols = [pa.array(lang, pa.string()), pa.array(pieces, pa.binary()), pa.array(n.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(cols, names=["lang", "piece", "n"])
 
-    fit = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    fit = fit.filter((fold(F.col("id"), 4) != 2) & F.col("lang").isNotNull())
-    line = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    fit = fit.withColumn("k", F.row_number().over(line)).filter(F.col("k") <= DOCS_PER_LANG)
-    picked = fit.orderBy(F.xxhash64("id"), "id").limit(MAX_DOCS).select(F.col("id").alias("_id"))
-    rows = docs.join(F.broadcast(picked), docs[id_col] == picked["_id"], "left_semi")
-    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return mapped(rows.filter("lang is not null"), cut, "lang string, piece binary, n long")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.filter("lang is not null").join(F.broadcast(training_ids(docs, id_col, lang_col)), F.col("id") == F.col("_id"), "left_semi")
+    found = mapped(rows.select("text", "lang"), cut, "lang string, piece binary, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    return found.orderBy(F.xxhash64("piece", "lang"), "piece", "lang").limit(PIECES)
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru:
-    """Train on labelled rows of ``docs`` whose fold (crc32 of the id modulo 4) is not 2."""
+    """Train on a bounded sample of the labelled rows of ``docs`` whose fold (crc32 of the id modulo 4) is not 2.
+
+    Rows without id or language are not used; with none left the network knows no language. Several rows of an
+    id are all read. Columns other than the three named ones are ignored.
+    """
     rows = training_pieces(docs, id_col, text_col, lang_col).orderBy("lang", "piece", "n").toPandas()
     if rows.empty:
         return ByteGru([], ByteGru.fresh([]).p)
@@ -254,7 +267,8 @@ def identify(docs: DataFrame, model: ByteGru, id_col: str = "doc_id", text_col:
     Every word with a letter is read by the network in both directions, every position of it gets a
     probability for each language, and their mean over the whole text decides; a word that occurs many times
     is read once in a slice of texts. lang_pred is ``und`` with score 0 for a null text, one without letters, or
-    if nothing was learned. held_out is false for a null id. Repeated rows are each judged alike.
+    if nothing was learned. held_out is false for a null id. Repeated rows are each judged alike, a text longer
+    than a slice alone; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
