@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.langid import fold
-from sketchloom.llm.shared import mapped
+from sketchloom.llm.shared import mapped, written
 from sketchloom.llm.wordspan import Words, slices, span_hashes
 
 #: Labelled documents that are read at most, the first in the order of a hash of the id.
 TRAIN_DOCS = 20_000
-#: Terms of the lexicon at most, and candidates that the driver looks at to choose them.
+#: Size of the classifier: terms of the lexicon at most (the best by G2, further ones are left out), and candidates
+#: that the driver looks at to choose them; ordinary words at most are twice as many as candidates.
 TERMS, CANDIDATES = 300, 3000
 #: Lengths of prefixes that may be terms; a prefix term stands for all words that begin with it.
 PREFIXES = range(4, 9)
@@ -251,9 +252,9 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """(text, toxic) of at most TRAIN_DOCS labelled documents whose fold (crc32 of the id modulo 3) is not 1."""
     fit = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     fit = fit.filter(fold(F.col("doc_id"), 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    fit = F.broadcast(fit.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")))
-    rows = docs.join(fit, docs[id_col] == fit["_id"])
-    return rows.select(F.col(text_col).cast("string").alias("text"), F.col("_toxic").alias("toxic"))
+    fit = F.broadcast(fit.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.join(fit, F.col("id") == F.col("_id")).select("text", "toxic")
 
 
 def candidate_terms(rows: DataFrame) -> DataFrame:
@@ -350,8 +351,13 @@ def ordinary_words(rows: DataFrame, automaton: TermAutomaton) -> tuple[frozenset
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[TermAutomaton, np.ndarray]:
-    """The automaton of the learned lexicon, and the weights that turn evidence into a probability."""
-    rows = labelled_rows(docs, labels, id_col, text_col)
+    """The automaton of the learned lexicon, and the weights that turn evidence into a probability.
+
+    The sample of labelled rows is written once and read for each step. Labels without id or value are not used, of
+    several of a document the highest counts; with none left, or an empty table, nothing is learned and every
+    text gets the same low score. Columns other than the named ones are ignored.
+    """
+    rows = written(labelled_rows(docs, labels, id_col, text_col), "toxicity-sample")
     words, prefixes = learn_lexicon(rows)
     automaton = TermAutomaton(words, prefixes, *ordinary_words(rows, TermAutomaton(words, prefixes)))
 
@@ -373,7 +379,8 @@ def score_toxicity(docs: DataFrame, automaton: TermAutomaton, beta: np.ndarray,
     """One row for each row of ``docs``: doc_id, held_out, score, predicted, evidence and density.
 
     Whole texts are read; a word is looked up once in a slice of texts. A null or empty text has no
-    evidence and gets the score of such texts. held_out is false for a null id. Repeated rows are scored alike.
+    evidence and gets the score of such texts. held_out is false for a null id. Repeated rows are scored alike, a
+    text longer than a slice alone; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

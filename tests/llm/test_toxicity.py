@@ -1,7 +1,12 @@
+import math
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
 from sketchloom.llm import toxicity as T
+from sketchloom.llm.queries import queries
 
 
 def distance(a, b):
@@ -101,6 +106,50 @@ def test_held_out(spark):
     assert ((found.score >= 0.7) == (found.predicted == 1)).all()
 
 
+def slow_evidence(automaton, text):
+    """Hits word by word: weight, hits within CONTEXT words, and whether quotation marks surround the hit."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    weights = [automaton.weight(text[a:b].lower().strip(T.EDGES)) for a, b in words]
+    marks = [i for i, c in enumerate(text or "") if c in '"«»“”„']
+    hits = []
+    for i, weight in enumerate(weights):
+        if not weight:
+            continue
+        near = sum(1 for j, v in enumerate(weights) if v and j != i and abs(i - j) <= T.CONTEXT)
+        a, b = words[i]
+        before, inside = sum(m < a for m in marks), sum(a <= m < b for m in marks)
+        after = sum(a <= m < words[min(i + T.CONTEXT, len(words) - 1)][1] for m in marks)
+        odd = before % 2 == 1
+        quoted = (odd and after > 0) or (a in marks and not odd and after > 1) or inside > 1
+        hits.append(weight * (1 + min(near, 4) / 4) * (T.QUOTED_SHARE if quoted else 1))
+    total = sum(hits)
+    return [total, total - max(hits, default=0), 100 * total / max(len(words), 1)]
+
+
+def test_registered_query_equals_word_by_word(spark):
+    base = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    automaton, beta = T.fit_toxicity(docs, labels)
+    got = {r.doc_id: r for r in queries()["op5_toxicity"](spark, base).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    some = 0
+    for r in rows:
+        found = slow_evidence(automaton, r.text)
+        some += found[0] > 0
+        x = beta[0] + sum(b * math.log1p(v) for b, v in zip(beta[1:], found))
+        score = 1 / (1 + math.exp(-x))
+        assert abs(got[r.doc_id].score - score) < 1e-9 and got[r.doc_id].predicted == int(score >= 0.7)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert some > 20
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 1, 2, 3), (2, None, 5, 1, 2, 3)], "doc_id long, text string, _toxic int, _id int, toxic int, id int")
+    labels = spark.createDataFrame([(1, 1, "x"), (2, 0, "y")], "doc_id long, toxic int, text string")
+    assert T.score_toxicity(docs, *T.fit_toxicity(docs, labels)).count() == 2
+
+
 def test_odd_rows(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None), (7, 0), (7, 1)], "doc_id long, toxic int")
     automaton, beta = T.fit_toxicity(odd_docs, labels)
