@@ -14,7 +14,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row for each row of ``docs``: doc_id, fp (signed long) and component_id.
 
     Texts are fingerprinted once, into a narrow table; see ``fingerprints`` and ``near_groups``. A null or
-    empty text has fingerprint 0 and is linked like any other. Other columns are ignored.
+    empty text has fingerprint 0 and is linked like any other; a very long text is read in parts. Repeated rows
+    are rows of one group, an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     return near_groups(written(with_fingerprints(docs, id_col, text_col), "simhash-prints"))
 

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.shared import mapped
-from sketchloom.llm.wordspan import Words, slices
+from sketchloom.llm.wordspan import SPACE, Words, slices
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -22,8 +23,10 @@ P1, P2, P3, P4, P5 = (
 )
 #: Longer shingles are hashed one by one.
 VECTOR_BYTES = 64
-#: Bytes of text that are taken at once.
+#: Bytes of text that are taken at once; a longer text is taken alone, and in parts if it has more than twice so many.
 SLICE_BYTES = 1 << 20
+#: Hashes that are spread into bits at once.
+UNPACKED = 1 << 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -84,13 +87,13 @@ def xxh64_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
     return out
 
 
-def fingerprints(column: pa.Array) -> np.ndarray:
-    """The 64-bit SimHash of each text: bit b is set if over half of its shingles' hashes have it."""
+def _bit_sums(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text: how many of its shingles' hashes have each bit, and the number of shingles."""
     w = Words(column)
-    result = np.zeros(w.n_texts, np.uint64)
+    sums, counts = np.zeros((w.n_texts, 64), np.int64), np.zeros(w.n_texts, np.int64)
     n = len(w.starts)
     if not n:
-        return result
+        return sums, counts
     sizes = w.ends - w.starts
     begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     data = np.full(int(sizes.sum()) + n, 0x20, np.uint8)
@@ -101,17 +104,54 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     at, last = np.flatnonzero(whole), last[whole]
     hashes = xxh64_spans(data, begins[at], begins[last] + sizes[last])
     doc = w.doc[at]
-    texts, firsts = np.unique(doc, return_index=True)
-    counts = np.diff(np.append(firsts, len(doc)))
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
+    for low in range(0, len(doc), UNPACKED):
+        part = doc[low : low + UNPACKED]
+        bits = np.unpackbits(hashes[low : low + UNPACKED].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        texts, firsts = np.unique(part, return_index=True)
+        sums[texts] += np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
+        counts[texts] += np.diff(np.append(firsts, len(part)))
+    return sums, counts
+
+
+def _long_bit_sums(text: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long text, some bytes at a time; the words that begin a shingle of the next part are carried over."""
+    sums, counts = np.zeros((1, 64), np.int64), np.zeros(1, np.int64)
+    raw, carried, low, seen = np.frombuffer(text, np.uint8), b"", 0, False
+    while low < len(raw):
+        high = min(low + SLICE_BYTES, len(raw))
+        while high < len(raw) and not SPACE[raw[high - 1]]:
+            step = np.flatnonzero(SPACE[raw[high : high + SLICE_BYTES]])
+            high = high + int(step[0]) + 1 if len(step) else min(high + SLICE_BYTES, len(raw))
+        part = carried + b" " + raw[low:high].tobytes()
+        words = Words(pa.array([part], pa.large_binary()).cast(pa.large_string()))
+        low = high
+        if len(words.starts) < SHINGLE_WORDS and (low < len(raw) or seen):
+            carried = part
+            continue
+        more, n = _bit_sums(pa.array([part], pa.large_binary()).cast(pa.large_string()))
+        sums, counts, seen = sums + more, counts + n, True
+        if len(words.starts) >= SHINGLE_WORDS:
+            carried = part[int(words.starts[1 - SHINGLE_WORDS]) :]
+    return sums, counts
+
+
+def fingerprints(column: pa.Array) -> np.ndarray:
+    """The 64-bit SimHash of each text: bit b is set if over half of its shingles' hashes have it."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
+    if len(sizes) == 1 and sizes[0] > 2 * SLICE_BYTES:
+        sums, counts = _long_bit_sums(memoryview(column[0].as_buffer()))
+    else:
+        sums, counts = _bit_sums(column)
     major = (2 * sums > counts[:, None]).astype(np.uint8)
-    result[texts] = np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
-    return result
+    return np.packbits(major, axis=1, bitorder="little").view("<u8").ravel()
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
-    """(doc_id, fp) of each row, and its ``key`` (a long) if one is wanted; fp is the fingerprint as a signed long, 0 for a text without words or null."""
+    """(doc_id, fp) of each row, and its ``key`` (a long) if one is wanted; fp is the fingerprint as a signed long.
+
+    It is 0 for a null text or one without words. Very long texts are read in parts. Other columns are ignored.
+    """
 
     keyed = key is not None
     names = ["doc_id", "fp", *(["key"] if keyed else [])]

@@ -1,13 +1,18 @@
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sketchloom.llm import hamming_index as H
+from sketchloom.llm import simhash
 from sketchloom.llm.near_dedup import drop_near_copies, simhash_groups
+from sketchloom.llm.queries import queries
 from sketchloom.llm.simhash import fingerprints, xxh64_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -55,6 +60,38 @@ def test_fingerprints(texts):
     assert [int(f) for f in fingerprints(pa.array(texts, pa.string()))] == [slow_print(t) for t in texts]
 
 
+@given(st.text(alphabet="aB é\t\n", min_size=1, max_size=150), st.integers(1, 12))
+@settings(max_examples=150, deadline=None)
+def test_long_texts_are_read_in_parts(text, size):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "SLICE_BYTES", size)
+        patch.setattr(simhash, "UNPACKED", 5)
+        assert int(fingerprints(pa.array([text]))[0]) == slow_print(text)
+
+
+MEASURE = """
+import resource
+import pyarrow as pa
+from sketchloom.llm.queries import queries
+from sketchloom.llm.simhash import fingerprints
+column = pa.array(["some words that repeat, " * 4_200_000])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert len(fingerprints(column)) == 1
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+
+
+def test_memory_for_a_text_of_100_mb():
+    done = subprocess.run([sys.executable, "-c", MEASURE], capture_output=True, text=True, check=True, timeout=600)
+    assert int(done.stdout.split()[-1]) < 700_000
+
+
+def test_registered_query(spark, small):
+    want = slow_groups([(r.doc_id, r.text) for r in small.collect()])
+    rows = queries()["op2_simhash_near_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in rows), key=str) == sorted(((i, f"{p:016x}", c) for i, p, c in want), key=str)
+
+
 def gray_order(fps):
     r = fps.copy()
     for k in (1, 2, 4, 8, 16, 32):
