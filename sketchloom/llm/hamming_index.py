@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from sketchloom.llm.shared import mapped, written
+from sketchloom.llm.shared import drop_written, mapped, written
 
 MAX_BITS = 3
 #: Children of a node of the index.
@@ -192,7 +192,11 @@ def components(edges: DataFrame) -> DataFrame:
     is a minimum for each node, with map-side combining, and a join back that adaptive execution can split
     where one node has many edges.
     """
+    def digest(found: DataFrame) -> Row:
+        return found.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
     edges = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("u <> v").distinct(), "cc-edges")
+    before = digest(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).withColumnRenamed("u", "n")
@@ -202,11 +206,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("n"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v")))
         after = written(small.filter("u <> v").distinct(), "cc-edges")
-        same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        before = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = after
-        if same == before:
+        drop_written(edges)
+        now, edges = digest(after), after
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("the components did not settle")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BITMAP_WORDS = 1 << 17
 #: Bytes of an Arrow batch, but for single rows above.
 BATCH_BYTES = 4 << 20
+#: Temporary folders by application, for sessions within one process.
+_local_dirs: dict[str, str] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +21,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a new temporary one if all of Spark runs in one process, as in tests; else an error, since
+    the machines of a cluster would each write to a folder of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="sketchloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _local_dirs.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="sketchloom-")
+        _local_dirs[spark.sparkContext.applicationId] = root
     return f"{root.rstrip('/')}/sketchloom"
 
 
@@ -42,7 +51,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage, so a costly column is computed once, and a lost executor costs nothing that was
-    written. The files stay until ``drop_written`` or whoever cleans the shared folder removes them.
+    written. The files stay until ``drop_written`` or whoever cleans the shared folder removes them: a result
+    is computed when its caller asks for it, so what it reads cannot go before.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
