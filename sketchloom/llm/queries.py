@@ -80,6 +80,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS t FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY t) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS p FROM again),
+word AS (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(read_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda x: x["kind_order"] < BASE_KINDS)
@@ -149,7 +161,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
-_ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op9_secret_scan": _op9_sql()}
+_ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op8_substring_dedup": OP8_SQL, "op9_secret_scan": _op9_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

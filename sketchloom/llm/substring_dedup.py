@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.llm.shared import bitmap_of, mapped, with_bitmap_test, written
-from sketchloom.llm.wordspan import Words, _prefix, _word_powers, mixed, slices
+from sketchloom.llm.wordspan import Words, _other_powers, _prefix, _word_powers, mixed, slices
 
 #: Words of a window; a passage is removed where windows of this length repeat.
 WINDOW = 35
@@ -77,12 +77,15 @@ class Segments:
         doc = w.doc[first]
         return cls(key, content, windows, first, weight, hashes, doc, first - w.first[doc])
 
-    def window_hashes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For single windows of some segments: hash, and index of the first word."""
+    def window_hashes(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For single windows of some segments: two independent hashes, and index of the first word."""
         n = self.windows[rows]
         at = np.repeat(self.first[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        sums, down = _prefix(self.words, _word_powers)
-        return mixed((sums[at + WINDOW] - sums[at]) * down[at]), at
+        both = []
+        for powers in (_word_powers, _other_powers):
+            sums, down = _prefix(self.words, powers)
+            both.append(mixed((sums[at + WINDOW] - sums[at]) * down[at]))
+        return both[0], both[1], at
 
 
 def _spark_hash(x: np.ndarray) -> np.ndarray:
@@ -230,11 +233,6 @@ def ranges(starts: list[int]) -> list[dict[str, int]]:
 
 def judge(group: dict[int, tuple[int, bytes]]) -> Iterator[tuple[int, list[dict[str, int]]]]:
     """For the segments of a group, content -> (copies, words): the ranges of windows that repeat."""
-    if len(group) == 1:
-        content, (copies, packed) = next(iter(group.items()))
-        if copies > 1:  # the automaton is one path, and all of it occurs so often
-            yield content, [{"from": 0, "until": len(packed) // 8 - WINDOW + 1}]
-            return
     texts = {c: np.frombuffer(p, np.int64).tolist() for c, (_, p) in group.items()}
     automaton = Automaton()
     for c, words in texts.items():
@@ -276,8 +274,8 @@ def repeated_ranges(docs: DataFrame, filters: tuple[KeyFilter, KeyFilter]) -> Da
                 keys, contents, first = s.key[rows], s.content[rows], s.first[rows]
                 ends = first + s.windows[rows] + WINDOW - 1
                 if big.any():
-                    hashes, at = s.window_hashes(np.flatnonzero(big))
-                    keys, contents = np.concatenate([keys, hashes]), np.concatenate([contents, hashes])
+                    hashes, others, at = s.window_hashes(np.flatnonzero(big))
+                    keys, contents = np.concatenate([keys, hashes]), np.concatenate([contents, others])
                     first, ends = np.concatenate([first, at]), np.concatenate([ends, at + WINDOW])
                 words = s.words
                 for k, c, a, b in zip(keys.view(np.int64).tolist(), contents.view(np.int64).tolist(), first.tolist(), ends.tolist()):
@@ -331,8 +329,8 @@ def occurrences(docs: DataFrame, filters: tuple[KeyFilter, KeyFilter]) -> DataFr
                 key, content, doc, place = s.key[rows], s.content[rows], s.doc[rows], s.place[rows]
                 if big.any():
                     rows = np.flatnonzero(big)
-                    hashes, at = s.window_hashes(rows)
-                    key, content = np.concatenate([key, hashes]), np.concatenate([content, hashes])
+                    hashes, others, at = s.window_hashes(rows)
+                    key, content = np.concatenate([key, hashes]), np.concatenate([content, others])
                     doc = np.concatenate([doc, np.repeat(s.doc[rows], s.windows[rows])])
                     place = np.concatenate([place, at - np.repeat(s.first[rows] - s.place[rows], s.windows[rows])])
                 take = pa.array(doc)
@@ -361,7 +359,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes if a window of WINDOW consecutive words that covers it occurs again, in any document or
     elsewhere in its own; all occurrences go, and windows are judged on the input. Words are runs of
-    characters other than ASCII white space, compared unchanged by 64-bit hashes.
+    characters other than ASCII white space, compared unchanged: a word by a 64-bit hash, what is equal beyond words by
+    two, that of its group and that of its content.
 
     Windows are grouped by the smallest hash of their grams. Only groups that could hold two equal windows are
     looked at further, known to the tasks by a bitmap of bounded size. Their different segments, each with
@@ -370,7 +369,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents by joins that adaptive execution can split; texts are shuffled only where something is removed.
 
     A null text has no words; a text of fewer than WINDOW words keeps all. Repeated rows, the same doc_id and
-    text again, are occurrences of each other. An empty table gives no rows.
+    text again, are occurrences of each other. A text longer than a slice is taken alone. An empty table gives no
+    rows. Other columns are ignored, whatever their names.
     """
     src = _source(docs, id_col, text_col)
     spans = removed_spans(src)

@@ -46,7 +46,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_byte_powers, _word_powers = _Powers(_BASE), _Powers(_WBASE)
+_byte_powers, _word_powers, _other_powers = _Powers(_BASE), _Powers(_WBASE), _Powers(0x9FB21C651E98DF25)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
