@@ -38,12 +38,19 @@ def pearson(x, y) -> float:
 
 
 def pearson_p_value(r: float, n: int, two_tailed: bool = True) -> float:
+    """Of Student's t with n - 2 degrees of freedom: 0 for |r| = 1, NaN for fewer than 3 points."""
+    if n < 3 or math.isnan(r):
+        return NAN
+    if abs(r) >= 1:
+        return 0.0
     t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
     return (2 if two_tailed else 1) * (1 - student_cdf(t, n - 2))
 
 
 def is_significant(r: float, n: int, alpha: float) -> bool:
-    t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
+    if n < 3 or math.isnan(r):
+        return False
+    t = abs(r) * math.sqrt((n - 2) / (1 - r * r)) if abs(r) < 1 else math.inf
     return t >= student_quantile(1 - alpha / 2, n - 2)
 
 
@@ -84,6 +91,42 @@ QN_FACTORS = {
 QN_CONSISTENCY = 2.21914
 
 
+def _kth_distance(x: np.ndarray, k: int) -> float:
+    """The k-th smallest distance between two of the sorted points, by bisection: n log n time, n memory."""
+    at, low, high = np.arange(len(x)), 0.0, float(x[-1] - x[0])
+
+    def last_within(t: float) -> np.ndarray:
+        return np.searchsorted(x, x + t, "right") - 1
+
+    if (last_within(low) - at).sum() >= k:
+        return 0.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        if not low < middle < high:
+            break
+        low, high = (low, middle) if (last_within(middle) - at).sum() >= k else (middle, high)
+    last = last_within(high)
+    return float((x[last] - x)[last > at].max(initial=low))
+
+
+def order_statistic(x, k: int) -> float:
+    """The k-th smallest value, k from 1."""
+    x = np.asarray(x, float)
+    if not 1 <= k <= len(x):
+        raise ValueError("k must lie between 1 and the number of values")
+    return float(np.partition(x, k - 1)[k - 1])
+
+
+def weighted_high_median(x, weights) -> float:
+    """The smallest value such that it and the smaller ones have more than half of the whole weight."""
+    x, weights = np.asarray(x, float), np.asarray(weights, float)
+    order = np.argsort(x, kind="stable")
+    sums = np.cumsum(weights[order])
+    if not len(x) or not sums[-1] > 0:
+        return NAN
+    return float(x[order][np.searchsorted(2 * sums, sums[-1], "right")])
+
+
 def qn_scale(x) -> float:
     """The Qn scale of Rousseeuw and Croux: an order statistic of the pairwise distances, made consistent."""
     x = np.sort(np.asarray(x, float))
@@ -92,8 +135,7 @@ def qn_scale(x) -> float:
         raise ValueError("at least two points are needed")
     h = n // 2 + 1
     k = h * (h - 1) // 2
-    i, j = np.triu_indices(n, 1)
-    distance = float(np.partition(x[j] - x[i], k - 1)[k - 1])
+    distance = _kth_distance(x, k)
     factor = QN_FACTORS.get(n)
     if factor is None:
         odd = 1.60188 + (-2.1284 - 5.172 / n) / n
@@ -220,6 +262,9 @@ def kendall(x, y) -> float:
 
 
 def kendall_to_mi(tau: float) -> float:
+    """Information of the Kendall-transformed values; by arithmetic of doubles it is NaN for tau = 1 and tau = -1."""
+    if math.isnan(tau) or abs(tau) >= 1:
+        return NAN
     return tau * math.log(math.sqrt((1 + tau) / (1 - tau))) + math.log(math.sqrt(1 - tau * tau))
 
 
@@ -277,6 +322,18 @@ def _place(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(found & (left < len(points)), left, left - 0.5)
 
 
+def _kth_neighbours(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Value and distance of the k-th nearest other point of each sorted point; of two equally near the smaller."""
+    n = len(s)
+    values = np.full((2 * k, n), np.inf)
+    for j in range(1, k + 1):
+        values[k - j, j:] = s[:-j]
+        values[k + j - 1, :-j] = s[j:]
+    gaps = np.abs(values - s)
+    at = np.argsort(gaps, axis=0, kind="stable")[k - 1]
+    return values[at, np.arange(n)], gaps[at, np.arange(n)]
+
+
 def ross_mi(discrete, continuous, k: int = 3, noise: bool = True) -> float:
     """Ross's mutual information of a discrete and a continuous sample; with noise it is not below 0.
 
@@ -299,10 +356,9 @@ def ross_mi(discrete, continuous, k: int = 3, noise: bool = True) -> float:
             m[rows], used[rows] = 2 * len(symbols), 0
             continue
         kk = min(k, count - 1)
-        own = c[rows]
-        gap = np.abs(own[:, None] - own[None, :])
-        at = np.argsort(gap, axis=1, kind="stable")[:, kk]
-        kth, distance = own[at], gap[np.arange(count), at]
+        own = np.sort(c[rows])
+        rows = rows[np.argsort(c[rows], kind="stable")]
+        kth, distance = _kth_neighbours(own, kk)
         low, high = np.where(kth < own, kth, own - distance), np.where(kth < own, own + distance, kth)
         m[rows] = np.maximum(np.floor(_place(order, high) - _place(order, low)), kk)
         used[rows] = kk
@@ -320,8 +376,9 @@ def mixed_ksg(x, y, k: int = 3, noise: bool = False) -> float:
         x, y = with_noise(x), with_noise(y, 10)
     k = min(k, n - 1)
     total = 0.0
-    for lo in range(0, n, 512):  # blocks keep the distance matrix small
-        dx, dy = (np.abs(v[lo : lo + 512, None] - v[None, :]) for v in (x, y))
+    step = max(1, min(512, (1 << 21) // n))  # blocks keep the distance matrix small
+    for lo in range(0, n, step):
+        dx, dy = (np.abs(v[lo : lo + step, None] - v[None, :]) for v in (x, y))
         far = np.maximum(dx, dy)
         rho = np.partition(far, k, axis=1)[:, k, None]
         # Strictly within the k-th neighbour; where that coincides with the point, all that coincide.
@@ -434,9 +491,16 @@ def percentile_interval(values, alpha: float) -> tuple[float, float, float]:
 
 
 def variance_interval(x, alpha: float = 0.05) -> tuple[float, float]:
-    """Augmented large-sample confidence interval of the variance."""
+    """Augmented large-sample confidence interval of the variance.
+
+    With q = k5 + 2n / (n - 1), the variance of the logarithm is taken as q / n * (1 + n q / 2), and both ends are
+    shifted by q / (2n).
+    """
     x = np.asarray(x, float)
     n = len(x)
-    s2, k5, z = float(x.var(ddof=1)), kurtosis(x)["k5"], normal_quantile(1 - alpha / 2)
-    var = math.sqrt(max((k5 + 2 * n / (n - 1)) / n, 0.0))
-    return s2 * math.exp(-z * var), s2 * math.exp(z * var)
+    s2, z = float(x.var(ddof=1)), normal_quantile(1 - alpha / 2)
+    q = kurtosis(x)["k5"] + 2 * n / (n - 1)
+    spread, shift = q / n * (1 + n * q / 2), q / (2 * n)
+    with np.errstate(over="ignore"):
+        low, high = np.exp(np.array([-z * spread, z * spread]) + shift)
+    return s2 * float(low), s2 * float(high)

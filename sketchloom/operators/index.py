@@ -19,8 +19,6 @@ KINDS = ("STD", "QCR", "QCRI")
 SORTS = ("KEY", "CSK", "BAL", "GRD", "GR2", "GR3")
 #: A query table is broadcast only up to so many terms; beyond, terms and postings meet in an ordinary join.
 BROADCAST_TERMS = 200_000
-#: Hits of one query that a greedy re-ranker compares with each other.
-GREEDY_HITS = 2000
 
 
 def qcr_keys(sketch: DataFrame, flip: bool = False) -> DataFrame:
@@ -65,13 +63,13 @@ def search(index: DataFrame, query: DataFrame, kind: str = "QCR", top_k: int = 1
     """(qid, id, score, rank): for every query sketch, the top_k indexed pairs by number of matching terms.
 
     Many queries run as one join of their terms with the postings, broadcast while they are few. ``order``
-    (pair_id, seq) says in which order pairs entered the index and breaks ties; without it the id does. Queries
-    themselves, if they are in the index, are left out.
+    (pair_id, seq) says in which order pairs entered the index and breaks ties; without it the id does. No query
+    is a hit of any query, if they are in the index.
     """
     terms = _query_terms(query, kind)
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    hits = index.join(terms, ["field", "term"]).filter(F.col("pair_id") != F.col("qid"))
+    hits = index.join(terms, ["field", "term"]).join(query.select("pair_id").distinct(), "pair_id", "left_anti")
     ways = hits.groupBy("qid", F.col("pair_id").alias("id"), "way").agg(F.count(F.lit(1)).alias("n"))
     scores = ways.groupBy("qid", "id").agg(F.max("n").alias("score"))
     tie = F.col("id")
@@ -101,8 +99,7 @@ def hit_details(hits: DataFrame, queries: DataFrame, sketches: DataFrame) -> Dat
 
 def _between_hits(hits: DataFrame, sketches: DataFrame) -> DataFrame:
     """(qid, x_id, y_id, value): absolute correlation of the hits of a query with each other."""
-    some = hits.filter(F.col("rank") <= GREEDY_HITS)
-    left, right = (some.select("qid", F.col("id").alias(n)) for n in ("x_id", "y_id"))
+    left, right = (hits.select("qid", F.col("id").alias(n)) for n in ("x_id", "y_id"))
     ids = left.join(right, "qid").filter("x_id < y_id")
     found = rebuild(hits, sketches)
     corr = pearson(join_sketches(found, found, ids.select("x_id", "y_id").distinct()))

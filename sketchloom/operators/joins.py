@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sketchloom.functions.aggregates import aggregate, aggregate_many, handler
+from sketchloom.operators.setops import quotient
 
 
 def join_sketches(x: DataFrame, y: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
@@ -56,17 +57,22 @@ def left_join_stats(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def overlap(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(x_id, y_id, x_keys, y_keys, intersection, union, jaccard, containment) of distinct keys, for wanted pairs."""
+    """(x_id, y_id, x_keys, y_keys, intersection, union, jaccard, containment) of distinct keys, for wanted pairs.
+
+    A column without keys has 0 of them; a share of nothing is NaN.
+    """
     keys = pairs.select("pair_id", "k").distinct()
     sizes = keys.groupBy("pair_id").agg(F.count(F.lit(1)).alias("keys"))
     left = keys.withColumnRenamed("pair_id", "x_id").join(ids, "x_id")
     both = left.join(keys.withColumnRenamed("pair_id", "y_id"), ["y_id", "k"])
     both = both.groupBy("x_id", "y_id").agg(F.count(F.lit(1)).alias("common"))
     x, y = (sizes.select(F.col("pair_id").alias(f"{s}_id"), F.col("keys").alias(f"{s}_keys")) for s in "xy")
-    out = ids.join(x, "x_id").join(y, "y_id").join(both, ["x_id", "y_id"], "left")
+    out = ids.join(x, "x_id", "left").join(y, "y_id", "left").join(both, ["x_id", "y_id"], "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("x_keys", "y_keys")})
     out = out.withColumn("intersection", F.coalesce("common", F.lit(0)).cast("long"))
     out = out.withColumn("union", F.col("x_keys") + F.col("y_keys") - F.col("intersection")).drop("common")
-    return out.withColumns({"jaccard": F.col("intersection") / F.col("union"), "containment": F.col("intersection") / F.col("x_keys")})
+    shares = {"jaccard": quotient(F.col("intersection"), F.col("union")), "containment": quotient(F.col("intersection"), F.col("x_keys"))}
+    return out.withColumns(shares)
 
 
 def combinations(catalog: DataFrame, within_dataset: bool = False, limit: int | None = None, seed: int = 0) -> DataFrame:
@@ -99,7 +105,3 @@ def task_part(ids: DataFrame, total: int, task: int) -> DataFrame:
     """The share of one of several independent runs: rows dealt by a stable hash."""
     return ids.filter(F.pmod(F.xxhash64(*ids.columns), F.lit(total)) == task)
 
-
-def with_counts(pairs: DataFrame) -> DataFrame:
-    """Rows with the number of rows of their key, for reports on repeated keys."""
-    return pairs.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("pair_id", "k")))

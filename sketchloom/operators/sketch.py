@@ -13,7 +13,6 @@ from sketchloom.session import tuned
 
 #: Sketch type to default budget: a number of keys or rows, or for GKMV a threshold.
 TYPES = {"KMV": 256.0, "GKMV": 0.1, "TUPSK": 256.0, "PRISK": 256.0, "INDSK": 256.0}
-INCREMENTAL = frozenset({"KMV", "GKMV", "INDSK"})
 
 
 @dataclass(frozen=True)
@@ -150,17 +149,29 @@ def sketch_meta(sketch: DataFrame, spec: SketchSpec) -> DataFrame:
     return out.withColumns({"distinct_ub": (F.col("size") - 1) / F.col("kth"), "distinct_be": F.col("size") / F.col("kth")})
 
 
+def with_order(sketch: DataFrame, pairs: DataFrame, spec: SketchSpec) -> DataFrame:
+    """The sketch with the order number of each key's value, ``at``, for a later merge of FIRST or LAST."""
+    if spec.aggregate not in ("FIRST", "LAST"):
+        return sketch
+    edge = F.max("ord") if spec.aggregate == "LAST" else F.min("ord")
+    at = hashed(pairs).groupBy("pair_id", "h").agg(edge.cast("long").alias("at"))
+    return sketch.join(at, ["pair_id", "h"])
+
+
 def merge_sketches(a: DataFrame, b: DataFrame, spec: SketchSpec) -> DataFrame:
     """The sketch of two disjoint sets of rows from theirs, for types and aggregates that allow it.
 
-    Rows carry v and n; MEAN is merged by weight. A key that either side left out cannot come back, so its rank
-    limit is kept: only keys below both sides' last ranks are complete.
+    Rows carry v and n; MEAN is merged by weight. FIRST and LAST go by the column ``at``, the order number of the
+    value's row, if the sketches have it (see ``with_order``), else ``a`` comes before ``b``. A key that either side
+    left out cannot come back, so its rank limit is kept: only keys below both sides' last ranks are complete.
     """
     if spec.type not in ("KMV", "GKMV"):
         raise NotImplementedError(f"{spec.type} needs all rows at once")
+    ordered = "at" in a.columns and "at" in b.columns
+    by = F.col("at") if ordered else F.col("side")
     merge = {
         "MAX": F.max("v"), "MIN": F.min("v"), "SUM": F.sum("v"), "COUNT": F.sum("v"),
-        "MEAN": F.sum(F.col("v") * F.col("n")) / F.sum("n"), "FIRST": F.min_by("v", "side"), "LAST": F.max_by("v", "side"),
+        "MEAN": F.sum(F.col("v") * F.col("n")) / F.sum("n"), "FIRST": F.min_by("v", by), "LAST": F.max_by("v", by),
     }
     if spec.aggregate not in merge:
         raise NotImplementedError(f"{spec.aggregate} cannot be merged")
@@ -168,7 +179,8 @@ def merge_sketches(a: DataFrame, b: DataFrame, spec: SketchSpec) -> DataFrame:
     limit = F.min(F.when(F.col("cut"), F.col("last"))).over(Window.partitionBy("pair_id"))
     both = both.withColumn("last", F.max("u").over(Window.partitionBy("pair_id", "side"))).withColumn("limit", limit)
     both = both.filter(F.col("limit").isNull() | (F.col("u") <= F.col("limit")))
-    keys = both.groupBy("pair_id", "h", "u").agg(merge[spec.aggregate].alias("v"), F.sum("n").alias("n"), F.max(F.col("limit").isNotNull()).alias("was_cut"))
+    at = [(F.max("at") if spec.aggregate == "LAST" else F.min("at")).alias("at")] if ordered else []
+    keys = both.groupBy("pair_id", "h", "u").agg(merge[spec.aggregate].alias("v"), F.sum("n").alias("n"), F.max(F.col("limit").isNotNull()).alias("was_cut"), *at)
     if spec.type == "GKMV":
         return keys.withColumn("cut", F.lit(True)).drop("was_cut")
     kept = _smallest(keys, spec.k, "u", "h")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sketchloom.functions.aggregates import aggregate
 from sketchloom.operators.correlation import pearson
 from sketchloom.operators.joins import overlap
+from sketchloom.operators.setops import quotient
 
 #: Cut-offs of the query scores.
 DEPTHS = (None, 5, 10, 50)
@@ -36,11 +37,16 @@ def ndcg(ranking: DataFrame, truth: DataFrame, k: int | None = None) -> DataFram
 
 
 def recall(ranking: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
-    """(qid, found, relevant, recall): share of the items with relevance of the threshold or more that are ranked."""
+    """(qid, found, relevant, recall): share of the items with relevance of the threshold or more that are ranked.
+
+    A query of the ranking or the truth for which nothing is relevant has recall NaN.
+    """
     good = truth.filter((F.col("rel") >= threshold) & ~F.isnan("rel")).select("qid", "id")
     ranked = ranking.select("qid", "id").distinct().withColumn("hit", F.lit(1))
     out = good.join(ranked, ["qid", "id"], "left").groupBy("qid").agg(F.count("hit").alias("found"), F.count(F.lit(1)).alias("relevant"))
-    return out.withColumn("recall", F.col("found") / F.col("relevant"))
+    asked = ranking.select("qid").union(truth.select("qid")).distinct()
+    out = asked.join(out, "qid", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("found", "relevant")})
+    return out.withColumn("recall", quotient(F.col("found"), F.col("relevant")))
 
 
 def query_scores(hits: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sketch builders, joins, set estimates, search and evaluation on small tables."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +114,44 @@ def test_merge_and_stream(spark, tmp_path):
         SketchStream(spark, "x", SketchSpec("TUPSK", 4))
 
 
+@pytest.mark.parametrize("aggregate", ["FIRST", "LAST", "SUM"])
+def test_stream_goes_on_after_a_restart(spark, tmp_path, aggregate):
+    spec, path = SketchSpec("KMV", 32, aggregate), str(tmp_path / "sketch")
+    rows = column(spark, "p", [f"k{i * 7 % 100}" for i in range(400)], range(400))
+    whole = {(r.h, r.v, r.n) for r in build_sketch(rows, spec).collect()}
+    for batch in range(4):  # late rows come first
+        part = rows.filter((F.col("ord") % 4) == 3 - batch)
+        SketchStream(spark, path, spec).add(part, batch)
+        SketchStream(spark, path, spec).add(part, batch)
+    sink = SketchStream(spark, path, spec)
+    assert sink.version == 3 and {(r.h, r.v, r.n) for r in sink.table().collect()} == whole
+    assert sorted(p.name for p in (tmp_path / "sketch").iterdir()) == ["v2", "v3"]
+
+
+def test_pairs_without_estimates_stay(spark):
+    one, some, x = column(spark, "one", "a", [1]), column(spark, "some", "abcdef", range(6)), column(spark, "x", [], [])
+    ids = spark.createDataFrame([(a, b) for a in ("one", "some", "none") for b in ("one", "some", "none")], "x_id string, y_id string")
+    rows = one.unionByName(some).unionByName(x)
+    for spec in (SketchSpec("KMV", 4), SketchSpec("GKMV", 0.9), SketchSpec("GKMV", 1e-9)):
+        sk = build_sketch(rows, spec)
+        for found in (S.set_estimates(sk, sk, spec, ids), S.stored_set_estimates(sk, sk, ids)):
+            got = {(r.x_id, r.y_id): r for r in found.collect()}
+            assert len(got) == 9
+            assert math.isnan(got["none", "none"].containment) and math.isnan(got["none", "some"].containment)
+    found = {(r.x_id, r.y_id): r for r in J.overlap(rows, ids).collect()}
+    assert len(found) == 9 and found["none", "some"].y_keys == 6 and math.isnan(found["none", "none"].jaccard)
+    known = {r.x_id: r.containment for r in S.set_estimates(sk, sk, spec, ids, {"some": 12}).collect() if r.y_id == "some"}
+    assert len(known) == 3
+
+
+def test_known_cardinality_is_used(spark):
+    rows = column(spark, "a", [f"k{i}" for i in range(50)], range(50)).unionByName(column(spark, "b", [f"k{i}" for i in range(25)], range(25)))
+    spec, ids = SketchSpec("KMV", 100), spark.createDataFrame([("a", "b")], "x_id string, y_id string")
+    sk = build_sketch(rows, spec)
+    plain, known = S.set_estimates(sk, sk, spec, ids).first(), S.set_estimates(sk, sk, spec, ids, {"a": 98}).first()
+    assert plain.intersection == known.intersection and known.containment == plain.containment / 2
+
+
 def test_full_join(spark):
     a = column(spark, "A", "abcde", [1, 2, 3, 4, 5])
     b = column(spark, "B", "abcd", [1, 2, 3, 4])
