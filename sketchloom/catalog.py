@@ -18,8 +18,9 @@ def register(name: str, fn: Callable[[SparkSession, str], DataFrame], sql: str |
 
 
 def _load() -> None:
-    """Import the module that registers the queries; it imports this one, so not at the top."""
-    import sketchloom.plans.queries  # noqa: F401
+    """Import the modules that register the queries; they import this one, so not at the top."""
+    import sketchloom.plans.queries
+    import sketchloom.plans.stored_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

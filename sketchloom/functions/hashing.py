@@ -99,12 +99,16 @@ def unit_hash(h: Column) -> Column:
     return x - F.floor(x)
 
 
+def minwise_coefficients(n: int, seed: int = 1947) -> list[int]:
+    return np.random.default_rng(seed).integers(1, 2**31 - 1, n).tolist()
+
+
 def minwise(hashes: Column, n: int, seed: int = 1947) -> Column:
     """Array of n structs (min_hash, position): the smallest of (a*x + b) mod 2147483587 over an int array.
 
     a and b of each function are the same number, drawn once for each function from a seeded generator.
     """
-    coefficients = np.random.default_rng(seed).integers(1, 2**31 - 1, n).tolist()
+    coefficients = minwise_coefficients(n, seed)
 
     def one(c: int) -> Column:
         values = F.transform(

@@ -108,6 +108,17 @@ def percentile_interval(df: DataFrame, x: str, by: list[str], alpha: float) -> D
     return rows.groupBy(*by).agg(at(alpha / 2).alias("lower"), at(1 - alpha / 2).alias("upper"), F.avg(x).alias("mean"))
 
 
+def weighted_high_median(df: DataFrame, x: str, weight: str, by: list[str]) -> DataFrame:
+    """(by, value): the smallest value such that it and the smaller ones have more than half of the group's weight.
+
+    Weights are added up by value first, so ties and repeated rows cost one row each.
+    """
+    values = df.groupBy(*by, x).agg(F.sum(weight).alias("_weight"))
+    line = Window.partitionBy(*by).orderBy(x)
+    sums = values.withColumns({"_upto": F.sum("_weight").over(line), "_all": F.sum("_weight").over(Window.partitionBy(*by))})
+    return sums.filter(2 * F.col("_upto") > F.col("_all")).groupBy(*by).agg(F.min(x).alias("value"))
+
+
 def fisher_interval(r: Column, n: Column, confidence: float = 0.95) -> Column:
     """Struct (lower, upper) of a correlation; NaN below 4 rows."""
     from sketchloom.functions.special import normal_quantile

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.catalog import register
 from sketchloom.functions import stats
-from sketchloom.functions.hashing import hash_int_tuple, hash_int_tuple_sql, minwise, murmur3, murmur3_sql, unit_hash, unit_hash_sql
+from sketchloom.functions.hashing import hash_int_tuple, hash_int_tuple_sql, minwise, minwise_coefficients, murmur3, murmur3_sql, unit_hash, unit_hash_sql
 from sketchloom.operators import correlation as C
 from sketchloom.operators import index as I
 from sketchloom.operators import joins as J
@@ -18,7 +18,7 @@ from sketchloom.operators import setops as S
 from sketchloom.operators.sketch import SketchSpec, build_sketch, chance, merge_sketches, sketch_meta
 from sketchloom.plans import evaluation as E
 from sketchloom.plans import jobs
-from sketchloom.session import tuned
+from sketchloom.session import scratch, tuned
 from sketchloom.sources import synthetic, tables
 
 # Column pairs of the test tables: id -> (table, key, value, order), in SQL that both engines read.
@@ -36,6 +36,7 @@ PAIRS = {
     "discount": ("lineitem", "l_suppkey", "l_discount", "l_orderkey"),
     "chars": ("documents", "doc_id", "n_chars", "doc_id"),
     "quality": ("labels", "doc_id", "quality", "doc_id"),
+    "one": ("nation", "'all'", "n_nationkey", "n_nationkey"),
 }
 INDEXED = ["orders", "part", "part_size", "events", "price", "quantity", "supplier", "discount", "chars", "quality"]
 
@@ -48,7 +49,7 @@ def pairs(spark: SparkSession, sf: str, *ids: str) -> DataFrame:
     out = None
     for i in ids:
         name, key, value, order = PAIRS[i]
-        one = tables.pair_of(table(spark, sf, name), i, F.col(key), F.col(value), F.col(order))
+        one = tables.pair_of(table(spark, sf, name), i, F.expr(key), F.col(value), F.col(order))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -134,7 +135,13 @@ register(
 )
 register(
     "hash_minwise",
-    lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set(F.col("p_size"))).alias("x")).select("p_brand", minwise(F.col("x"), 8).alias("m")),
+    lambda s, d: table(s, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set(F.col("p_size"))).alias("x"))
+    .select("p_brand", F.posexplode(minwise(F.col("x"), 8)).alias("f", "m"))
+    .select("p_brand", F.col("f").cast("long").alias("f"), "m.min_hash", F.col("m.position").cast("long").alias("position")),
+    "WITH x AS (SELECT p_brand, list_sort(list(DISTINCT p_size)) AS x FROM part GROUP BY 1), e AS (SELECT p_brand, unnest(x) AS v, unnest(range(0, len(x))) AS position FROM x), "
+    "c(f, c) AS (VALUES " + ", ".join(f"({i}::BIGINT, {c}::HUGEINT)" for i, c in enumerate(minwise_coefficients(8))) + "), "
+    "m AS (SELECT p_brand, f, ((v * c + c) % 2147483587)::BIGINT AS min_hash, position FROM e CROSS JOIN c) "
+    "SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY p_brand, f ORDER BY min_hash, position) = 1",
 )
 
 
@@ -316,13 +323,13 @@ register(
 )
 
 
-def _stored(s: SparkSession, d: str) -> DataFrame:
+def _stored_sets(s: SparkSession, d: str) -> DataFrame:
     sk = build_sketch(pairs(s, d, _X, _Y, "part"), SketchSpec("KMV", 256))
     return rounded(S.stored_set_estimates(sk, sk, id_pairs(s, (_X, _Y), (_X, "part"), (_Y, "part"))), 4)
 
 
 register(
-    "stored_setops", _stored,
+    "stored_setops", _stored_sets,
     f"""WITH {kmv_sql('FIRST', 256, _X, _Y, 'part')}, {_WANTED}, sz AS (SELECT pair_id, count(*) AS c, max(u) AS last FROM sk GROUP BY pair_id),
     al AS (SELECT x_id, y_id, h, u, count(*) AS c FROM w JOIN sk ON pair_id = x_id OR pair_id = y_id GROUP BY ALL),
     k AS (SELECT x_id, y_id, least(a.c, b.c) AS k, (a.c - 1) / a.last AS card FROM w JOIN sz a ON a.pair_id = x_id JOIN sz b ON b.pair_id = y_id),
@@ -489,7 +496,28 @@ register(
     f"""{_E} pr AS (SELECT sign(a.xv - b.xv) * sign(a.yv - b.yv) AS s, a.xv = b.xv AS tx, a.yv = b.yv AS ty FROM jn a JOIN jn b ON a.h < b.h), n AS (SELECT count(*) AS n FROM jn)
     SELECT '{_X}' AS x_id, '{_Y}' AS y_id, {_r('sum(s) / sqrt((count(*) - count(*) FILTER (tx)) * (count(*) - count(*) FILTER (ty)))', 'value')}, (SELECT n FROM n) AS n FROM pr""",
 )
-for _name in ("RIN", "ROBUST_QN", "PM1_BOOTSTRAP", "PM1_SIMPLE", "PCV", "MIXED_KSG", "KENDALL_MI"):
+_TAU = "sum(s) / sqrt((count(*) - count(*) FILTER (tx)) * (count(*) - count(*) FILTER (ty)))"
+register(
+    "sketch_kendall_mi", lambda s, d: rounded(C.grouped(_joined(s, d), C.KERNELS["KENDALL_MI"])),
+    f"""{_E} pr AS (SELECT sign(a.xv - b.xv) * sign(a.yv - b.yv) AS s, a.xv = b.xv AS tx, a.yv = b.yv AS ty FROM jn a JOIN jn b ON a.h < b.h), t AS (SELECT {_TAU} AS t FROM pr)
+    SELECT '{_X}' AS x_id, '{_Y}' AS y_id, {_r('t * ln(sqrt((1 + t) / (1 - t))) + ln(sqrt(1 - t * t))', 'value')}, (SELECT count(*) FROM jn) AS n FROM t""",
+)
+
+
+def _concordant(s: SparkSession, d: str) -> DataFrame:
+    """Estimators on two columns that are one and the same: ranks agree throughout, and the information is undefined (null)."""
+    rows = table(s, d, "part").select(F.lit("a").alias("x_id"), F.lit("b").alias("y_id"), F.col("p_partkey").cast("double").alias("xv"), F.col("p_partkey").cast("double").alias("yv"))
+    found = C.grouped(rows, C.KERNELS["KENDALL"]).withColumnRenamed("value", "tau")
+    more = C.grouped(rows, C.KERNELS["KENDALL_MI"]).select("x_id", "y_id", F.col("value").alias("mi"))
+    return rounded(found.join(more, ["x_id", "y_id"]))
+
+
+register("kendall_concordant", _concordant, "SELECT 'a' AS x_id, 'b' AS y_id, 1.0::DOUBLE AS tau, NULL::DOUBLE AS mi, count(*) AS n FROM part")
+register(
+    "sketch_pcv", lambda s, d: rounded(C.grouped(_joined(s, d), C.KERNELS["PCV"])),
+    f"WITH {_JOINED} SELECT x_id, y_id, {_r(pearson_sql(), 'value')}, count(*) AS n FROM jn GROUP BY x_id, y_id",
+)
+for _name in ("RIN", "ROBUST_QN", "PM1_BOOTSTRAP", "PM1_SIMPLE", "MIXED_KSG"):
     register(f"sketch_{_name.lower()}", lambda s, d, n=_name: C.grouped(_joined(s, d), C.KERNELS[n]))
 register("sketch_ross", lambda s, d: C.grouped(_joined(s, d).withColumn("xv", F.floor(F.col("xv") / 20000).cast("double")), C.KERNELS["ROSS_XY"]))
 
@@ -499,10 +527,18 @@ def _kl(s: SparkSession, d: str) -> DataFrame:
 
     rows = _joined(s, d)
     plain = C.grouped(rows, lambda x, _: kl_entropy(x)).withColumn("form", F.lit("plain"))
-    return plain.unionByName(C.grouped(rows, lambda x, _: kl_entropy_mixed(x)).withColumn("form", F.lit("mixed")))
+    return rounded(plain.unionByName(C.grouped(rows, lambda x, _: kl_entropy_mixed(x)).withColumn("form", F.lit("mixed"))))
 
 
-register("kl_entropy", _kl)
+_DIGAMMA = "(list_sum(list_transform(range(1, {m}), lambda i: 1.0 / i)) - 0.57721566490153286)"
+register(
+    "kl_entropy", _kl,
+    f"""{_E} gaps AS (SELECT a.h, abs(a.xv - b.xv) AS d, row_number() OVER (PARTITION BY a.h ORDER BY abs(a.xv - b.xv)) AS rn FROM jn a JOIN jn b ON a.h <> b.h),
+    p AS (SELECT h, max(d) FILTER (rn = 3) AS third, min(d) FILTER (d > 0) AS apart, count(*) FILTER (d = 0) + 1 AS same FROM gaps GROUP BY h), n AS (SELECT count(*) AS n FROM jn),
+    e AS (SELECT 'plain' AS form, avg(ln(third)) - {_DIGAMMA.format(m=3)} AS e FROM p
+          UNION ALL SELECT 'mixed', avg(CASE WHEN same > 3 THEN ln(apart) - {_DIGAMMA.format(m='same')} ELSE ln(third) - {_DIGAMMA.format(m=3)} END) FROM p)
+    SELECT '{_X}' AS x_id, '{_Y}' AS y_id, {_r(_DIGAMMA.format(m='n') + ' + ln(2) + e', 'value')}, n, form FROM e, n""",
+)
 
 
 # Vector statistics.
@@ -589,10 +625,17 @@ register("qcr_index_search", _search("QCR"), f"WITH {_QCR.format(left='pos', rig
 register("qcri_index_search", _search("QCRI"), f"WITH {_QCR.format(left='neg', right='pos')} SELECT * FROM top")
 
 
+def _stored(s: SparkSession, df: DataFrame) -> DataFrame:
+    path = scratch(s, "stored")
+    df.write.parquet(path)
+    return s.read.schema(df.schema).parquet(path)
+
+
 def _reranked(sort: str):
     def run(s: SparkSession, d: str) -> DataFrame:
-        indexed, query = _index(s, d)
-        hits = I.search(I.postings(indexed, "STD"), query, "STD", 8)
+        # Sketches and hits are read several times, so they are stored first.
+        indexed, query = (_stored(s, df) for df in _index(s, d))
+        hits = _stored(s, I.search(I.postings(indexed, "STD"), query, "STD", 8))
         return rounded(I.rerank(I.hit_details(hits, query, indexed), sort, indexed))
 
     return run
@@ -612,32 +655,50 @@ for _sort, _expr in (("KEY", "score::DOUBLE"), ("CSK", "abs(corr)"), ("BAL", "ab
         f"rerank_{_sort.lower()}", _reranked(_sort),
         f"WITH {_DETAILS} SELECT qid, id, score, rank, {_r('corr', 'corr')}, {_r('joinability', 'joinability')}, {_r(_expr, 'rerank_score')}, row_number() OVER (ORDER BY {_expr} DESC, rank)::INTEGER AS new_rank FROM de",
     )
-for _sort in ("GRD", "GR2", "GR3"):
-    register(f"rerank_{_sort.lower()}", _reranked(_sort))
+
+
+def _greedy_sql(floor: str, score: str, order: str) -> str:
+    return f"""WITH RECURSIVE {_DETAILS},
+    br AS (SELECT a.pair_id AS a, b.pair_id AS b, {pearson_sql('a.v', 'b.v')} AS r FROM sk a JOIN sk b USING (h) WHERE a.pair_id <> b.pair_id AND a.pair_id IN (SELECT id FROM top) AND b.pair_id IN (SELECT id FROM top) GROUP BY 1, 2),
+    bt AS (SELECT a, b, CASE WHEN isnan(r) THEN 0.0 ELSE abs(r) END AS v FROM br),
+    gr AS (SELECT 0 AS step, NULL::VARCHAR AS id, 0.0::DOUBLE AS gain, []::VARCHAR[] AS taken UNION ALL
+        SELECT step + 1, id, gain, list_append(taken, id) FROM (SELECT *, row_number() OVER (ORDER BY gain DESC, rank) AS rn FROM (
+            SELECT gr.step, gr.taken, de.id, any_value(de.rank) AS rank, greatest({floor}, any_value(abs(de.corr)) - coalesce(max(bt.v), 0.0)) * any_value(de.joinability) AS gain
+            FROM gr CROSS JOIN de LEFT JOIN bt ON bt.a = de.id AND list_contains(gr.taken, bt.b)
+            WHERE NOT list_contains(gr.taken, de.id) GROUP BY gr.step, gr.taken, de.id)) WHERE rn = 1)
+    SELECT qid, id, score, rank, {_r('corr', 'corr')}, {_r('joinability', 'joinability')}, {_r(score, 'rerank_score')}, (row_number() OVER (ORDER BY {order}))::INTEGER AS new_rank FROM gr JOIN de USING (id)"""
+
+
+for _sort, _parts in (
+    ("GRD", ("'-inf'::DOUBLE", "gain", "step")), ("GR2", ("0.01", "(SELECT count(*) FROM de) - step + 1", "step")), ("GR3", ("0.01", "gain", "gain DESC, step")),
+):
+    register(f"rerank_{_sort.lower()}", _reranked(_sort), _greedy_sql(*_parts))
 
 
 # Evaluation.
 
 
 def _ranking(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Parts of each brand ranked by price, with their size as relevance (missing for every seventh)."""
+    """Parts of each brand ranked by price, with their size as relevance, missing for those of a price of 1,000 or less."""
     part = table(s, d, "part")
     line = F.row_number().over(E.Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
-    ranking = part.select(F.col("p_brand").alias("qid"), F.col("p_partkey").cast("string").alias("id"), line.alias("rank")).filter("rank <= 40")
-    truth = part.filter("p_partkey % 7 <> 0").select(F.col("p_brand").alias("qid"), F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("double").alias("rel"))
+    ranking = part.select(F.col("p_brand").alias("qid"), F.col("p_partkey").cast("string").alias("id"), line.alias("rank"))
+    rel = F.when(F.col("p_retailprice") > 1000, F.col("p_size").cast("double"))
+    truth = part.select(F.col("p_brand").alias("qid"), F.col("p_partkey").cast("string").alias("id"), rel.alias("rel"))
     return ranking, truth
 
 
-_RANKING = "rk AS (SELECT p_brand AS qid, p_partkey::VARCHAR AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 40), tr AS (SELECT p_brand AS qid, p_partkey::VARCHAR AS id, p_size::DOUBLE AS rel FROM part WHERE p_partkey % 7 <> 0)"
+_RANKING = "rk AS (SELECT p_brand AS qid, p_partkey::VARCHAR AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part), tr AS (SELECT p_brand AS qid, p_partkey::VARCHAR AS id, CASE WHEN p_retailprice > 1000 THEN p_size::DOUBLE END AS rel FROM part)"
 register(
     "ndcg", lambda s, d: rounded(E.ndcg(*_ranking(s, d), 20)),
     f"""WITH {_RANKING}, a AS (SELECT qid, sum(coalesce(rel, 0) / log2(rank + 1)) AS dcg FROM rk LEFT JOIN tr USING (qid, id) WHERE rank <= 20 GROUP BY qid),
-    b AS (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, id) AS rn FROM tr), i AS (SELECT qid, sum(rel / log2(rn + 1)) AS ideal FROM b WHERE rn <= 20 GROUP BY qid)
+    b AS (SELECT qid, coalesce(rel, 0) AS rel, row_number() OVER (PARTITION BY qid ORDER BY coalesce(rel, 0) DESC, id) AS rn FROM tr), i AS (SELECT qid, sum(rel / log2(rn + 1)) AS ideal FROM b WHERE rn <= 20 GROUP BY qid)
     SELECT qid, {_r('dcg', 'dcg')}, {_r('ideal', 'ideal')}, {_r('dcg / ideal', 'ndcg')} FROM a JOIN i USING (qid)""",
 )
 register(
-    "recall", lambda s, d: rounded(E.recall(*_ranking(s, d), 30.0)),
-    f"WITH {_RANKING}, g AS (SELECT t.qid, r.id IS NOT NULL AS hit FROM tr t LEFT JOIN rk r ON t.qid = r.qid AND t.id = r.id WHERE rel >= 30) SELECT qid, count(*) FILTER (hit) AS found, count(*) AS relevant, {_r('count(*) FILTER (hit) / count(*)', 'recall')} FROM g GROUP BY qid",
+    "recall", lambda s, d: rounded(E.recall(_ranking(s, d)[0].filter("rank <= 40"), _ranking(s, d)[1], 49.0)),
+    f"WITH {_RANKING}, g AS (SELECT t.qid, r.id IS NOT NULL AND rel >= 49 AS hit, coalesce(rel >= 49, false) AS good FROM tr t LEFT JOIN rk r ON t.qid = r.qid AND t.id = r.id AND r.rank <= 40), c AS (SELECT qid, count(*) FILTER (hit) AS found, count(*) FILTER (good) AS relevant FROM g GROUP BY qid) "
+    f"SELECT qid, found, relevant, {_r('CASE WHEN relevant > 0 THEN found / relevant ELSE NULL END', 'recall')} FROM c".replace("ELSE NULL", "ELSE 'NaN'::DOUBLE"),
 )
 
 

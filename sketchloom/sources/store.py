@@ -52,9 +52,9 @@ def write_sample(sample: DataFrame, total: int, path: str) -> None:
 
 
 def read_sample(spark: SparkSession, path: str) -> tuple[int, list[str]]:
-    lines = [r.value for r in spark.read.text(path, wholetext=False).collect()]
-    numbers = [v for v in lines if v.isdigit()]
-    return int(numbers[0]), [v for v in lines if not v.isdigit()]
+    """The number of all columns and the sampled ids; the file is one, and its lines keep their order."""
+    lines = [r.value for r in spark.read.text(path).coalesce(1).collect()]
+    return int(lines[0]), lines[1:]
 
 
 def write_csv(df: DataFrame, path: str, digits: dict[str, int] | None = None) -> None:
