@@ -19,8 +19,8 @@ WINDOW = 35
 GRAM = 10
 #: A group with more different segments than this is dealt out by single windows.
 LARGE_GROUP = 2000
-#: Segments that a task gathers before it passes on the different ones.
-GATHER = 100_000
+#: Segments, and bytes of their words, that a task gathers before it passes on the different ones.
+GATHER, GATHER_BYTES = 100_000, 32 << 20
 #: Bits of the filter for each repeated group, and its 64-bit words at least and at most (32 MB).
 BITS_PER_KEY, MIN_FILTER, MAX_FILTER = 8, 1 << 14, 1 << 22
 
@@ -257,8 +257,11 @@ def repeated_ranges(docs: DataFrame, filters: tuple[KeyFilter, KeyFilter]) -> Da
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
+        size = 0
 
         def out() -> pa.RecordBatch:
+            nonlocal size
+            size = 0
             rows = [(k, c, n, p) for (k, c), (n, p) in held.items()]
             held.clear()
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -282,9 +285,10 @@ def repeated_ranges(docs: DataFrame, filters: tuple[KeyFilter, KeyFilter]) -> Da
                     seen = held.get((k, c))
                     if seen is None:
                         held[k, c] = [1, words[a:b].tobytes()]
+                        size += 8 * (b - a)
                     else:
                         seen[0] += 1
-                if len(held) > GATHER:
+                if len(held) > GATHER or size > GATHER_BYTES:
                     yield out()
         yield out()
 
