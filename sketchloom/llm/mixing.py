@@ -12,8 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
 #: Ranges of the shuffle order in each source; running sums need one range in one task, never a whole source.
 RANGES = 4096
-#: Ranges of virtual finish time among which the cut is looked for.
-TIME_RANGES = 65536
+#: Ranges of virtual finish time among which the cut is looked for: of each unit up to 2, and of each doubling beyond.
+TIME_RANGES, LATE_RANGES = 65536, 1024
 
 
 def word_count(text):
@@ -36,7 +36,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     No source lies in one task: running sums are taken within RANGES ranges of the shuffle order, whose
     totals are summed first. The order depends on seed, id and text size only, so reruns agree. A null text
     has size 0; rows of size 0 are never taken. A null source is a source. Rows repeated with the same id
-    are separate documents of the mix. An empty table gives no rows.
+    are separate documents of the mix, equal places going by id. Texts are counted whole, however long. An empty table
+    gives no rows. Other columns are ignored, whatever their names.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                         word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
@@ -59,9 +60,12 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     epochs = F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1))
     copies = queued.filter("size > 0 and target > 0").withColumn("epoch", F.explode(epochs))
     copies = copies.withColumn("finish", finish_time(F.col("epoch")))
-    copies = copies.withColumn("slot", F.floor(F.col("finish") * TIME_RANGES).cast("long"))
+    late = 2 * TIME_RANGES + F.floor((F.log2(F.greatest(F.col("finish"), F.lit(2.0))) - 1) * LATE_RANGES)
+    slot = F.when(F.col("finish") < 2, F.floor(F.col("finish") * TIME_RANGES)).otherwise(late)
+    copies = copies.withColumn("slot", slot.cast("long"))
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    # A slot for each range of time that has a copy: their number depends on TIME_RANGES and the sources alone.
+    # Sources fill up evenly until 1, so the cut is near 1; later times are few wide slots, so that a source much
+    # larger than its target adds no more than a bounded number of them.
     slots = copies.groupBy("slot").agg(F.sum("size").alias("words"))
     order = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     filled = slots.withColumn("upto", F.sum("words").over(order)).filter(F.col("upto") > budget)
