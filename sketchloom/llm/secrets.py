@@ -64,6 +64,8 @@ def running_starts(gaps: Column, lengths: Column) -> Column:
 def spans_of(text: Column, order: int) -> Column:
     """Array of (start, kind_order, end, value) of one kind; empty where the text has none."""
     _, pattern, group, least = KINDS[order]
+    if order == BARE:  # a run that is too short is not tried again from its other characters
+        pattern = r"(?<![A-Za-z0-9+/_-])" + pattern
     empty = F.array().cast("array<struct<start:int,kind_order:int,end:int,value:string>>")
     regex = F.lit(pattern)
     matches = F.regexp_extract_all(text, regex, F.lit(0))
