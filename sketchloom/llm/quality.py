@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchloom.llm.shared import mapped
+from sketchloom.llm.shared import mapped, text_key, written
 from sketchloom.llm.wordspan import Words, mixed, slices, span_hashes
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -18,8 +19,6 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Labelled rows that are read at most to choose cutoffs: the first in the order of a hash of the id.
-LABELLED = 20_000
 #: Largest share of good documents that all rules together may reject in a stratum, and the chance that
 #: any bound of the whole choice is wrong.
 ALPHA, DELTA = 0.05, 0.05
@@ -84,18 +83,19 @@ def features(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and FEATURES of each row of ``docs``."""
+    """doc_id, text_key (a hash of the text) and FEATURES of each row of ``docs``."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 got = features(part.column("text"))
-                cols = [part.column("doc_id"), *(pa.array(got[f].astype(np.int64)) for f in FEATURES)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *FEATURES])
+                cols = [part.column("doc_id"), part.column("text_key"), *(pa.array(got[f].astype(np.int64)) for f in FEATURES)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", *FEATURES])
 
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    return mapped(src, measure, f"doc_id {kind}, " + ", ".join(f"{f} long" for f in FEATURES))
+    return mapped(src, measure, f"doc_id {kind}, text_key long, " + ", ".join(f"{f} long" for f in FEATURES))
 
 
 def base_failed():
@@ -121,9 +121,15 @@ def stratum():
     return out
 
 
-def _log_pmf(n: int, p: float, i: int) -> float:
-    choose = math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
-    return choose + i * math.log(p) + (n - i) * math.log1p(-p)
+def _log_tail(n: int, p: float, x: int) -> float:
+    """Logarithm of the chance of x or fewer of n, for x / n below p.
+
+    Terms more than 12 square roots of n * p below x are left out: together they are less than exp(-72).
+    """
+    top = math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p)
+    i = np.arange(x, max(0, x - math.ceil(12 * math.sqrt(n * p))), -1, dtype=float)
+    falls = np.cumsum(np.log(i) - np.log(n - i + 1) + (math.log1p(-p) - math.log(p)))
+    return top + math.log1p(float(np.exp(falls).sum()))
 
 
 def binomial_upper(x: int, n: int, delta: float) -> float:
@@ -133,9 +139,9 @@ def binomial_upper(x: int, n: int, delta: float) -> float:
     low, high = x / n, 1.0
     for _ in range(60):
         p = (low + high) / 2
-        logs = [_log_pmf(n, p, i) for i in range(x + 1)]
-        top = max(logs)
-        if top + math.log(sum(math.exp(v - top) for v in logs)) > math.log(delta):
+        if p >= 1.0 or p <= low:
+            break
+        if _log_tail(n, p, x) > math.log(delta):
             low = p
         else:
             high = p
@@ -147,10 +153,16 @@ def binomial_lower(x: int, n: int, delta: float) -> float:
     return 1.0 - binomial_upper(n - x, n, delta) if n else 0.0
 
 
-def choose_cutoffs(
-    values: dict[str, np.ndarray], strata: np.ndarray, good: np.ndarray
-) -> dict[tuple[int, str], float]:
-    """The cutoff of each rule in each stratum, from labelled documents; no entry where no cutoff will do.
+@dataclass
+class Rejected:
+    """Of the good, or of the bad, labelled texts of a stratum: how many, and how many each (rule, cutoff) rejects."""
+
+    n: int = 0
+    by: dict[tuple[str, float], int] = field(default_factory=dict)
+
+
+def cutoffs_of(counts: dict[tuple[int, bool], Rejected]) -> dict[tuple[int, str], float]:
+    """The cutoff of each rule in each stratum, from counts by (stratum, good); no entry where no cutoff will do.
 
     A cutoff is admissible if the exact binomial upper bound of its share of rejected good documents is at
     most ALPHA divided by the number of rules, and if the exact lower bound of its share of rejected bad
@@ -162,29 +174,46 @@ def choose_cutoffs(
     delta = DELTA / (2 * (len(STRATA) + 1) * sum(len(c) for c in RULES.values()))
     chosen = {}
     for s in range(len(STRATA) + 1):
-        fine, poor = (strata == s) & good, (strata == s) & ~good
-        n, m = int(fine.sum()), int(poor.sum())
+        fine, poor = counts.get((s, True), Rejected()), counts.get((s, False), Rejected())
         for rule, cutoffs in RULES.items():
             most = 0
             for cutoff in reversed(cutoffs):
-                x, y = int((values[rule][fine] > cutoff).sum()), int((values[rule][poor] > cutoff).sum())
-                if y <= most or x > limit * n or binomial_upper(x, n, delta) > limit:
+                x, y = fine.by.get((rule, cutoff), 0), poor.by.get((rule, cutoff), 0)
+                if y <= most or x > limit * fine.n or binomial_upper(x, fine.n, delta) > limit:
                     continue
-                if binomial_lower(y, m, delta) >= LEAST_GAIN:
+                if binomial_lower(y, poor.n, delta) >= LEAST_GAIN:
                     most, chosen[s, rule] = y, cutoff
     return chosen
 
 
-def labelled_values(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """good, stratum and rule values of at most LABELLED labelled documents that pass the base rules."""
-    picked = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    picked = picked.select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("good"))
-    ids = picked.select("_id")
-    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"], "left_semi")
-    found = with_features(rows, id_col, text_col).filter(~base_failed())
-    found = found.join(F.broadcast(picked), found["doc_id"] == picked["_id"])
-    return found.select("good", stratum().alias("stratum"), *[v.alias(k) for k, v in rule_values().items()])
+def choose_cutoffs(
+    values: dict[str, np.ndarray], strata: np.ndarray, good: np.ndarray
+) -> dict[tuple[int, str], float]:
+    """``cutoffs_of`` labelled texts that are at hand as arrays."""
+    counts = {}
+    for s in np.unique(strata).tolist():
+        for kind in (True, False):
+            own = (strata == s) & (good == kind)
+            by = {(r, c): int((values[r][own] > c).sum()) for r, cutoffs in RULES.items() for c in cutoffs}
+            counts[s, kind] = Rejected(int(own.sum()), by)
+    return cutoffs_of(counts)
+
+
+def rejection_counts(measured: DataFrame, labels: DataFrame) -> dict[tuple[int, bool], Rejected]:
+    """Counts over all labelled texts that pass the base rules; ``measured`` is the result of ``with_features``.
+
+    Copies of a text are one trial, good only if all their labels are, so that trials stay independent however often a
+    text is copied. What comes to the driver is a count for each stratum, label and cutoff.
+    """
+    judged = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    judged = judged.select(F.col("doc_id").alias("_id"), (F.col("quality") == 1).alias("good"))
+    found = measured.filter(~base_failed()).join(judged, measured["doc_id"] == F.col("_id"))
+    trials = found.groupBy("text_key", *FEATURES).agg(F.min("good").alias("good"))
+    trials = trials.select("good", stratum().alias("stratum"), *[v.alias(k) for k, v in rule_values().items()])
+    pairs = [(r, c) for r, cutoffs in RULES.items() for c in cutoffs]
+    over = [F.count_if(F.col(r) > c).alias(f"over_{i}") for i, (r, c) in enumerate(pairs)]
+    rows = trials.groupBy("stratum", "good").agg(F.count(F.lit(1)).alias("n"), *over).collect()
+    return {(r["stratum"], r["good"]): Rejected(r["n"], {p: r[f"over_{i}"] for i, p in enumerate(pairs)}) for r in rows}
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,16 +222,17 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Words are runs of characters other than ASCII white space; n_repeat_words counts words in 3-word windows
     that occur twice or more in the text. A document is kept if it has MIN_WORDS words, at most
     MAX_REPEAT_PERCENT of them repeated, and no learned rule of its stratum (a range of word counts) rejects it.
-    Where too few good documents are labelled to prove a bound, a stratum has no learned rule.
+    Where too few different good texts are labelled to prove a bound, a stratum has no learned rule.
 
-    A null text has no words, so it fails the base rules; a label without id or verdict is not used; of
-    several labels of a document the worst counts. Repeated rows are judged each; empty tables give no rows.
+    Every text is read once, whole, however long, and its features are written to the shared folder; cutoffs are
+    chosen from the features of all labelled documents. A null text has no words, so it fails the base rules; a label
+    without id or verdict is not used; of several labels of a document the worst counts. Repeated rows are judged each;
+    other columns are ignored, whatever their names; empty tables give no rows.
     """
-    rows = labelled_values(docs, labels, id_col, text_col).toPandas()
-    values = {r: rows[r].to_numpy(float) for r in RULES}
-    chosen = choose_cutoffs(values, rows["stratum"].to_numpy(), rows["good"].to_numpy(bool))
+    measured = written(with_features(docs, id_col, text_col), "quality-features")
+    chosen = cutoffs_of(rejection_counts(measured, labels))
     values, reject = rule_values(), F.lit(False)
     for (s, rule), cutoff in sorted(chosen.items()):
         reject = reject | ((stratum() == s) & (values[rule] > cutoff))
-    out = with_features(docs, id_col, text_col).withColumn("base_failed", base_failed())
+    out = measured.drop("text_key").withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & ~reject)

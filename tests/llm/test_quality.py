@@ -79,3 +79,82 @@ def test_odd_rows(odd_docs, no_docs, spark):
         assert not (r.kept and r.base_failed)
     assert Q.quality_verdicts(no_docs, labels).count() == 0
     assert Q.quality_verdicts(odd_docs, labels.limit(0)).count() == odd_docs.count()
+
+
+def slow_upper(x, n, delta):
+    """Bisection on the sum of all terms."""
+    if n == 0 or x >= n:
+        return 1.0
+    low, high = x / n, 1.0
+    for _ in range(45):
+        p = (low + high) / 2
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(x + 1))
+        low, high = (p, high) if tail > delta else (low, p)
+    return high
+
+
+def slow_verdicts(docs, labels):
+    """(doc_id, features, base_failed, kept) of each document, by plain Python over every labelled text."""
+    worst = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            worst[i] = min(q, worst.get(i, q))
+    rows, trials = [], {}
+    for i, text in docs:
+        n, chars, symbols, dups, repeat = f = slow(text)
+        failed = n < 50 or 100 * repeat > 50 * n
+        value = dict(symbols_per_word=symbols / max(n, 1), symbols_per_char=symbols / max(chars, 1), repeat_share=repeat / max(n, 1),
+                     dup_lines_per_word=dups / max(n, 1), chars_per_word=chars / max(n, 1))
+        s = sum(n >= b for b in Q.STRATA)
+        rows.append((i, f, failed, s, value))
+        if i in worst and not failed:
+            trials[text] = (s, value, min(worst[i] == 1, trials.get(text, (0, 0, True))[2]))
+    limit, delta, chosen = Q.ALPHA / 5, Q.DELTA / (2 * 5 * 30), {}
+    for s in range(5):
+        for rule in Q.RULES:
+            good = [v[rule] for k, v, g in trials.values() if k == s and g]
+            bad = [v[rule] for k, v, g in trials.values() if k == s and not g]
+            options = []
+            for cutoff in Q.RULES[rule]:
+                x, y = sum(v > cutoff for v in good), sum(v > cutoff for v in bad)
+                if good and bad and slow_upper(x, len(good), delta) <= limit and 1 - slow_upper(len(bad) - y, len(bad), delta) >= Q.LEAST_GAIN:
+                    options.append((y, cutoff))
+            if options:
+                chosen[s, rule] = max(options)[1]
+    return [(i, *f, failed, not failed and all(v[r] <= chosen.get((s, r), math.inf) for r in Q.RULES)) for i, f, failed, s, v in rows], chosen
+
+
+def test_registered_query(spark, tmp_path):
+    from sketchloom.llm.queries import queries
+
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(4000):
+        n = int(rng.integers(45, 99)) if i % 2 else int(rng.integers(100, 130))
+        words = [f"w{x}" for x in rng.integers(0, 100_000, n)]
+        if i % 5 == 0:
+            words = [w + "#" * int(rng.integers(1, 3)) if rng.random() < 0.6 else w for w in words]
+        docs.append((i, " ".join(words), 0 if i % 5 == 0 and i % 875 else 1))
+    # Half of the stratum of 100 words and more are copies of one text, which are one trial.
+    docs = [(i, docs[1201][1] if i % 4 == 2 and q else t, q) for i, t, q in docs]
+    spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q) for i, _, q in docs], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = queries()["op10_quality_rules"](spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, *(r[f] for f in Q.FEATURES), r.base_failed, r.kept) for r in rows)
+    want, chosen = slow_verdicts([d[:2] for d in docs], [(i, q) for i, _, q in docs])
+    assert got == sorted(want)
+    assert chosen and sum(not r.kept and not r.base_failed for r in rows) > 50
+
+
+def test_copies_prove_nothing(spark):
+    text, bad = " ".join(f"w{i}" for i in range(60)), " ".join(f"#{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text if i < 2000 else bad) for i in range(2500)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 2000) AS quality")
+    assert Q.quality_verdicts(docs, labels).filter("not kept").count() == 0
+
+
+def test_bounds_of_many_trials():
+    for x, n in ((40, 5000), (9_000, 1_000_000), (9_900_000, 10**9)):
+        up = Q.binomial_upper(x, n, 1e-4)
+        # The normal approximation is close at these sizes.
+        assert abs((up - x / n) / math.sqrt(up * (1 - up) / n) - 3.719) < 0.3
