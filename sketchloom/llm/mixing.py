@@ -12,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
 #: Ranges of the shuffle order in each source; running sums need one range in one task, never a whole source.
 RANGES = 4096
+#: Sources of which ``mix`` broadcasts the places where they are cut; with more, rows meet their copies in a join.
+BROADCAST_SOURCES = 10_000
 #: Ranges of virtual finish time among which the cut is looked for: of each unit up to 2, and of each doubling beyond.
 TIME_RANGES, LATE_RANGES = 65536, 1024
 
@@ -20,9 +22,15 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_place(doc_id, source, size, seed):
+    """Place of a document in the shuffled order of its source, and the range of that order that it is in."""
+    place = F.xxhash64(F.lit(seed), doc_id, source, size)
+    return place, F.pmod(F.shiftright(place, 40), F.lit(RANGES)).cast("int")
+
+
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, text_hash, source, size, source_size, target, copies, taken.
+    """One row for each row of ``docs``: doc_id, text_hash, source, size, source_size, target, copies, taken, part, place.
 
     Sources in code point order, null last, weigh ``weights`` in turn and share all words: a source's target
     is its weighted share, at most MAX_EPOCHS times its size, with what is above shared out again by weight.
@@ -36,13 +44,13 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     No source lies in one task: running sums are taken within RANGES ranges of the shuffle order, whose
     totals are summed first. The order depends on seed, id and text size only, so reruns agree. A null text
     has size 0; rows of size 0 are never taken. A null source is a source. Rows repeated with the same id
-    are separate documents of the mix, equal places going by id. Texts are counted whole, however long. An empty table
+    are separate documents of the mix, equal places going by id and a hash of the text. Texts are counted whole, however long. An empty table
     gives no rows. Other columns are ignored, whatever their names.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                         word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    sized = sized.withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "source", "size"))
-    sized = written(sized.withColumn("part", F.pmod(F.shiftright("place", 40), F.lit(RANGES)).cast("int")), "mix-sizes")
+    place, part = shuffle_place(F.col("doc_id"), F.col("source"), F.col("size"), seed)
+    sized = written(sized.withColumns({"place": place, "part": part}), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     targets = written(targets, "mix-targets")
 
@@ -50,10 +58,10 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(F.col("source").alias("o_source"), F.col("part").alias("o_part"),
                            F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("source", "part").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "part").orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     queued = sized.withColumn("run", F.sum("size").over(within))
     queued = queued.join(offsets, queued["source"].eqNullSafe(offsets["o_source"]) & (queued["part"] == offsets["o_part"]))
-    queued = queued.withColumn("queued", F.col("offset") + F.col("run")).drop("o_source", "o_part", "offset", "run", "part")
+    queued = queued.withColumn("queued", F.col("offset") + F.col("run")).drop("o_source", "o_part", "offset", "run")
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     queued = written(queued.join(t, queued["source"].eqNullSafe(t["t_source"])).drop("t_source"), "mix-queued")
 
@@ -86,7 +94,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     result = queued.withColumn("copies", sum(taken[1:], taken[0]).cast("int"))
     return result.select("doc_id", "text_hash", "source", "size", "source_size", "target",
                          F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"),
-                         F.when(F.col("size") > 0, F.col("copies") * F.col("size")).otherwise(0).cast("long").alias("taken"))
+                         F.when(F.col("size") > 0, F.col("copies") * F.col("size")).otherwise(0).cast("long").alias("taken"), "part", "place")
 
 
 def finish_time(epoch):
@@ -121,15 +129,36 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
                     F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it is taken, with the columns of ``docs``.
 
-    Rows meet their number of copies by id and text; of repeated rows with both equal, each is taken as often
-    as the one that is taken most.
+    In each pass over a source the documents taken are those up to some place of its order, so a few places for
+    each source tell every row how often it is taken, and no text is shuffled. With more than BROADCAST_SOURCES
+    sources rows meet their copies by id, source and text instead. Of repeated rows with all these equal,
+    each is taken as often as the one that is taken most. Rows of size 0 go, so do all of an empty table.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col).filter("copies > 0")
-    plan = plan.groupBy("doc_id", "text_hash").agg(F.max("copies").alias("__sl_copies"))
-    plan = plan.withColumnsRenamed({"doc_id": "__sl_id", "text_hash": "__sl_hash"})
-    same = F.col(id_col).eqNullSafe(F.col("__sl_id")) & (F.xxhash64(F.col(text_col)) == F.col("__sl_hash"))
-    joined = docs.join(plan, same)
-    return joined.withColumn("__sl_copy", F.explode(F.sequence(F.lit(1), F.col("__sl_copies")))).select(*docs.columns)
+    plan = mix_plan(docs, id_col, text_col, source_col, seed=seed).filter("copies > 0")
+    at = F.struct("part", "place", "doc_id", "text_hash")
+    cuts = plan.groupBy("source").agg(*[F.max(F.when(F.col("copies") > e, at)).alias(f"__sl_cut{e}") for e in range(MAX_EPOCHS)])
+    cuts = written(cuts.withColumnRenamed("source", "__sl_source"), "mix-cuts")
+    source, text_hash = F.col(source_col).cast("string"), F.xxhash64(F.col(text_col))
+    if cuts.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        joined = docs.join(F.broadcast(cuts), source.eqNullSafe(F.col("__sl_source")))
+
+        def key(size):
+            place, part = shuffle_place(F.col(id_col), source, size, seed)
+            return F.struct(part.alias("part"), place.alias("place"), F.col(id_col).alias("doc_id"), text_hash.alias("text_hash"))
+
+        def times(keyed):
+            upto = [F.coalesce((keyed["key"] <= F.col(f"__sl_cut{e}")).cast("int"), F.lit(0)) for e in range(MAX_EPOCHS)]
+            return F.when(keyed["size"] > 0, sum(upto[1:], upto[0])).otherwise(0)
+
+        # Lambda variables, so that words are counted once for each row and not once for each use of the count.
+        keyed = F.transform(F.array(word_count(F.col(text_col))), lambda n: F.struct(n.alias("size"), key(n).alias("key")))
+        copies = F.transform(keyed, times)[0]
+    else:
+        plan = plan.groupBy("doc_id", "source", "text_hash").agg(F.max("copies").alias("__sl_copies"))
+        plan = plan.withColumnsRenamed({"doc_id": "__sl_id", "source": "__sl_source", "text_hash": "__sl_hash"})
+        same = F.col(id_col).eqNullSafe(F.col("__sl_id")) & source.eqNullSafe(F.col("__sl_source")) & (text_hash == F.col("__sl_hash"))
+        joined, copies = docs.join(plan, same), F.col("__sl_copies")
+    return joined.select("*", F.explode(F.array_repeat(F.lit(1), copies)).alias("__sl_copy")).select(*docs.columns)

@@ -3,7 +3,9 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from sketchloom.llm import mixing
 from sketchloom.llm.mixing import MAX_EPOCHS, RANGES, mix, mix_plan
+from sketchloom.llm.queries import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,3 +96,25 @@ def test_mix_repeats_rows(small):
     plan = {r.doc_id: r.copies for r in mix_plan(small).collect() if r.copies}
     got = {r.doc_id: r["count"] for r in mix(small).groupBy("doc_id").count().collect()}
     assert got == plan
+
+
+def test_both_ways_to_take_rows_agree(spark, small, odd_docs, monkeypatch):
+    rows = [(i % 40, f"w{i % 3} " * (i % 7), ["a", "b", None][i % 3]) for i in range(300)]
+    repeated = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for docs in (small, odd_docs, repeated):
+        plan = mix_plan(docs).filter("copies > 0").groupBy("doc_id", "source", "text_hash").agg(F.max("copies").alias("n"))
+        most = {(r.doc_id, r.source, r.text_hash): r.n for r in plan.collect()}
+        keyed = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash")).collect()
+        want = sorted((str(r) for r in keyed for _ in range(most.get(tuple(r), 0))))
+        for bound in (10_000, 0):
+            monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+            got = mix(docs).select("doc_id", "source", F.xxhash64("text").alias("text_hash")).collect()
+            assert sorted(map(str, got)) == want
+
+
+def test_registered_query(spark, small):
+    by_source, targets, want = compare(small)
+    got = queries()["op4_mix_sources"](spark, "/root/testdata/sf0.001").collect()
+    assert got[0].asDict().keys() == {"doc_id", "size", "source_size", "target", "taken"}
+    # ``compare`` holds these rows of the plan against the slow queue.
+    assert sorted(map(tuple, got)) == sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in want)
