@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +41,28 @@ def shared_dir(spark: SparkSession) -> str:
 def mapped(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` with batches bounded by bytes, so that rows with very long texts do not pile up.
 
-    Spark counts only rows by default. A bound that the session already has is kept.
+    Spark counts only rows by default. A bound that the session already has is kept. After each task the worker
+    gives the memory that it has freed back to the system, since workers live on through later stages.
     """
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not conf.get(key, None):
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of Arrow and, where the C library can, of the process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
