@@ -27,12 +27,13 @@ LONG_BYTES = 2048
 LEAF_BYTES = 2048
 #: Tokens on each side of a join in the first window inside a piece, and words on each side in that between leaves.
 WINDOW, WINDOW_WORDS = 8, 1
-#: Pieces that each of the two generations of a worker's memory holds at most, but for those of one slice.
-MEMORY_PIECES = 1 << 18
+#: Pieces that each of the two generations of a worker's memory holds at most, but for those of one slice; unless the
+#: encoder is given a bound of its own.
+MEMORY_PIECES = 1 << 17
 #: Pieces that are handed to the library at once.
 AT_ONCE = 4096
 #: Bytes of text that are taken at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 # The pre-tokenizer's pattern for which words may be taken apart, and the marks that are.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 MARKS = b".,!?;:*$%#&"
@@ -116,8 +117,8 @@ class WordEncoder:
     # Texts in which white space must leave no trace.
     PROBES = ("a b", " a", "a ", "ab  cd", "a\nb", "\t1", "a \r\n . b")
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, memory: int | None = None):
+        self.path, self.memory = path, memory
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
@@ -248,7 +249,7 @@ class WordEncoder:
         """The ids of distinct pieces, each packed as ``dtype``."""
         raw = buf.tobytes()
         pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
-        if len(self.young) + len(pieces) > MEMORY_PIECES:
+        if len(self.young) + len(pieces) > (self.memory or MEMORY_PIECES):
             self.old, self.young = self.young, {}
         found = list(map(self.young.get, pieces))
         unseen = [i for i, v in enumerate(found) if v is None]
@@ -435,14 +436,14 @@ class _Spans:
             self.starts, self.ends, self.n, self.at = (x[alive] for x in (self.starts, self.ends, self.n, self.at))
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int | None], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, memory: int | None = None) -> WordEncoder:
     """The encoder for a tokenizer file, kept for as long as the worker lives."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, memory) not in _encoders:
+        _encoders[path, memory] = WordEncoder(path, memory)
+    return _encoders[path, memory]
 
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

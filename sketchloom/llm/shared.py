@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: 64-bit words of a bitmap filter: 2**17 words are 8.4 million bits and about 2 MB once broadcast.
 BITMAP_WORDS = 1 << 17
 #: Bytes of an Arrow batch, but for single rows above.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Temporary folders by application, for sessions within one process.
 _local_dirs: dict[str, str] = {}
 

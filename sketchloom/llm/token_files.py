@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sketchloom.llm.bpe import SLICE_BYTES, encoder
+from sketchloom.llm.bpe import encoder
 from sketchloom.llm.shared import mapped, shared_dir, written
 from sketchloom.llm.wavelet import TokenFile, encode_file
 from sketchloom.llm.wordspan import slices
@@ -21,6 +21,8 @@ from sketchloom.llm.wordspan import slices
 #: A file is closed at the first end of a document after so many tokens.
 FILE_TOKENS = 1 << 22
 END_ID = 1
+#: Bytes of text that are encoded at once, and pieces that each generation of the encoder's memory holds.
+SLICE_BYTES, MEMORY_PIECES = 2 << 20, 1 << 18
 MANIFEST = "part long, seq long, path string, n_docs long, n_tokens long"
 
 
@@ -39,7 +41,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, MEMORY_PIECES)
         part, seq, held, held_tokens = TaskContext.get().partitionId(), 0, [], 0
 
         for batch in batches:
