@@ -82,7 +82,9 @@ def information_stats(pairs: DataFrame, ids: DataFrame, spec: SketchSpec, x_type
     rights = pairs.join(ids.select(F.col("y_id").alias("pair_id")).distinct(), "pair_id", "left_semi")
     right = rights.groupBy("pair_id", "k").agg(handler(function).build(F.col("v"), F.col("ord")).alias("yv")).withColumnRenamed("pair_id", "y_id")
     full = left.join(right, ["y_id", "k"])
-    x_sketch = build_sketch(pairs, SketchSpec(spec.type, spec.budget, "NONE" if spec.type == "TUPSK" else "FIRST"))
+    # Only wanted columns are hashed.
+    lefts = pairs.join(ids.select(F.col("x_id").alias("pair_id")).distinct(), "pair_id", "left_semi")
+    x_sketch = build_sketch(lefts, SketchSpec(spec.type, spec.budget, "NONE" if spec.type == "TUPSK" else "FIRST"))
     y_sketch = build_sketch(rights, SketchSpec(spec.type, spec.budget, function))
     sample = join_sketches(x_sketch, y_sketch, ids)
     estimator = "MUTUAL_INFORMATION_DIFF_ENT_MIXED"

@@ -1,4 +1,5 @@
 import math
+import time
 
 import numpy as np
 import pytest
@@ -28,6 +29,47 @@ def test_kl_mixed_equals_brute_force():
                 assert K.kl_entropy_mixed(x) == pytest.approx(slow_kl_mixed(np.asarray(x, float)), abs=1e-9)
 
 
+def slow_mixed_ksg(x, y, k):
+    n, total = len(x), 0.0
+    for a, b in zip(x, y):
+        dx, dy = np.abs(x - a), np.abs(y - b)
+        far = np.maximum(dx, dy)
+        rho = np.sort(far)[min(k, n - 1)]
+        near = [d < rho if rho > 0 else d == 0 for d in (dx, dy)]
+        kk = min(k, n - 1) if rho > 0 else (far == 0).sum()
+        total += K.digamma(kk) - sum(K.digamma(m.sum()) for m in near)
+    return max(float(total) / n + math.log(n), 0.0)
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 16, 33, 100, 700])
+@pytest.mark.parametrize("k", [1, 3, 7])
+def test_mixed_ksg_equals_brute_force(n, k):
+    rng = np.random.default_rng(n)
+    normal, few, some = rng.normal(size=n), rng.integers(0, 4, n).astype(float), rng.integers(0, n // 3 + 1, n)
+    for x, y in (
+        (normal, normal + rng.normal(size=n)), (few, normal), (few, rng.permutation(few)), (np.zeros(n), normal), (np.zeros(n), np.zeros(n)),
+        (np.where(few > 1, 0.0, normal), np.where(few % 2 > 0, 0.0, normal)), (normal[some], -few[some]), (rng.standard_cauchy(n) ** 3, normal),
+        (1 + few * 2.0**-52, few * 0.1 + normal.round(1)), (np.where(few > 1, 1.0, normal * 1e-20), 1e9 + normal.round(2)),
+    ):
+        assert K.mixed_ksg(x, y, k) == pytest.approx(slow_mixed_ksg(x, y, k), abs=1e-9)
+
+
+def test_mixed_ksg_of_values_that_are_not_finite():
+    x = np.arange(10.0)
+    for odd in (math.nan, math.inf, -math.inf):
+        y = np.where(x == 3, odd, x * x)
+        assert K.mixed_ksg(x, y) == K.mixed_ksg(y, x) == math.inf
+
+
+def test_mixed_ksg_of_a_whole_join_does_not_take_the_square():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=100_000)
+    began = time.process_time()
+    value = K.mixed_ksg(x, 0.8 * x + 0.6 * rng.normal(size=len(x)))
+    assert time.process_time() - began < 60  # all pairs take minutes
+    assert value == pytest.approx(-0.5 * math.log(1 - 0.64), abs=0.02)
+
+
 def test_entropies_of_all_types(spark):
     rng = np.random.default_rng(4)
     x = rng.integers(0, 4, 80).astype(float)
