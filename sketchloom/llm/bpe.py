@@ -30,6 +30,8 @@ WINDOW, WINDOW_WORDS = 8, 1
 #: Pieces that each of the two generations of a worker's memory holds at most, but for those of one slice; unless the
 #: encoder is given a bound of its own.
 MEMORY_PIECES = 1 << 17
+#: Places of the table that finds frequent pieces by their hash, a power of two, and ids that its pieces may have in all.
+TABLE_BITS, TABLE_IDS = 18, 1 << 21
 #: Pieces that are handed to the library at once.
 AT_ONCE = 4096
 #: Bytes of text that are taken at once.
@@ -47,6 +49,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER_LATIN = np.arange(256, dtype=np.uint8)
 _LOWER_LATIN[[b for b in range(0x80, 0x9F) if b != 0x97]] += 32
+#: The symbols of those bytes that stand in small letters of Latin-1, by Latin-1 character.
+_LETTER_SYMBOLS = {chr(b): chr(BYTE_SYMBOLS[b]) for b in (0xC3, *range(0x80, 0xC0)) if b in BYTE_SYMBOLS}
 _SMALL = np.isin(np.arange(256), list(range(97, 123)))
 #: Second bytes of the small letters of Latin-1.
 _SMALL_LATIN = np.isin(np.arange(256), [b for b in range(0x9F, 0xC0) if b != 0xB7])
@@ -105,12 +109,48 @@ def _cuts(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.sort(np.concatenate([offsets, cuts])), depth
 
 
+def _owners(starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the disjoint ranges hold one of the places ``at`` (sorted)."""
+    return np.searchsorted(at, starts) < np.searchsorted(at, ends) if len(at) else np.zeros(len(starts), bool)
+
+
+class _Table:
+    """Ids of pieces by the hash of a piece, one piece for each place; a later piece takes the place of an earlier one."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.hashes[0] = (1 << 64) - 1  # an empty place has a hash that belongs elsewhere
+        self.at, self.n = np.zeros(1 << TABLE_BITS, np.int64), np.zeros(1 << TABLE_BITS, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each piece is there, and where in ``ids`` its ids begin, and their number."""
+        place = (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        return self.hashes[place] == hashes, self.at[place], self.n[place].astype(np.int64)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, n: np.ndarray, kept: int) -> np.ndarray:
+        """Where in ``ids`` the ids of more pieces begin, which come one after the other; the first ``kept`` pieces stay."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(ids), self.used), self.dtype)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = np.cumsum(n) - n + self.used
+        self.used += int(n[:kept].sum())
+        place, rows = np.unique((hashes[:kept] >> np.uint64(64 - TABLE_BITS)).astype(np.int64), return_index=True)
+        self.hashes[place], self.at[place], self.n[place] = hashes[rows], at[rows], n[rows]
+        return at
+
+
 class WordEncoder:
     """Token ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False).ids``.
 
     The tokenizer's pre-tokenizer drops white space and no normalizer joins characters across it, so a text's
     ids are those of its words (separated by ASCII white space), one after the other. Each distinct word is
-    encoded once while it is remembered; the memory holds a bounded number of pieces in two generations.
+    encoded once while it is remembered; the memory holds a bounded number of pieces in two generations, and before
+    it a table finds most pieces by their hash alone.
     A tokenizer that keeps white space is refused.
     """
 
@@ -142,6 +182,7 @@ class WordEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.table = _Table(self.dtype)
         #: Joins of leaves so far, and windows that had to grow.
         self.joins = self.grown = 0
         # What _pieces may assume: lower case and Unicode composition, letters apart from other characters.
@@ -175,12 +216,23 @@ class WordEncoder:
             buf, starts, ends, word = self._pieces(words)
             if not len(starts):
                 return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-            _, first, which = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-            packed = self._packed(buf, starts[first], ends[first])
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
-        pool, at = np.frombuffer(b"".join(packed), self.dtype), np.cumsum(sizes) - sizes
-        n = sizes[which]
-        ids = pool.take(_laid_out(at[which], n))
+            if self.table.used > TABLE_IDS:
+                self.table.clear()
+            hashes = span_hashes(buf, starts, ends)
+            found, at, n = self.table.find(hashes)
+            rest = np.flatnonzero(~found)
+            if len(rest):
+                own, first, which, times = np.unique(hashes[rest], return_index=True, return_inverse=True, return_counts=True)
+                # The table is for pieces that come again; those come first.
+                order = np.argsort(times == 1, kind="stable")
+                which = np.argsort(order)[which]
+                first = rest[first[order]]
+                packed = self._packed(buf, starts[first], ends[first])
+                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+                frequent = int((times > 1).sum())
+                at[rest] = self.table.add(own[order], np.frombuffer(b"".join(packed), self.dtype), sizes, frequent)[which]
+                n[rest] = sizes[which]
+        ids = self.table.ids.take(_laid_out(at, n))
         return ids, np.bincount(word, weights=n, minlength=len(words.starts)).astype(np.int64)
 
     def encode_by_tree(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -221,21 +273,27 @@ class WordEncoder:
         if not self.plain or not len(starts):
             return buf, starts, ends, word
 
-        def has(flags: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
-            return sums[ends] > sums[starts]
-
         # Letters of Latin-1 are C3 and a second byte in UTF-8; all its letters are composed already.
-        second = np.zeros(len(buf), bool)
-        second[1:] = buf[:-1] == 0xC3
-        latin = second & ~np.isin(buf, (0x97, 0xB7))
-        special = has(buf == ord("<"))
-        as_is = special | has((buf >= 128) & (buf != 0xC3) & ~latin)
-        small = np.where(latin, _LOWER_LATIN[buf], _LOWER[buf])
-        kept = np.flatnonzero(w.word_bytes).compress(np.repeat(as_is, ends - starts))
+        high = np.flatnonzero(buf >= 128)
+        second = high[1:][(buf[high[1:] - 1] == 0xC3)] if len(high) else high
+        at = second[(buf[second] != 0x97) & (buf[second] != 0xB7)]
+        latin = np.zeros(len(buf), bool)
+        latin[at] = True
+        special = _owners(starts, ends, np.flatnonzero(buf == ord("<")))
+        as_is = special | _owners(starts, ends, high[(buf[high] != 0xC3) & ~latin[high]])
+        small = _LOWER[buf]
+        small[at] = _LOWER_LATIN[buf[at]]
+        kept = _laid_out(starts[as_is], (ends - starts)[as_is])
         small[kept] = buf[kept]
-        last = np.maximum.accumulate(np.where(_MARK[buf], np.int32(-1), np.arange(len(buf), dtype=np.int32)))
-        core = np.maximum(last[ends - 1] + 1, starts)
+        core = ends.copy()
+        rows = np.arange(len(starts))
+        for _ in range(4):
+            rows = rows[_MARK[buf[core[rows] - 1]]]
+            core[rows] -= 1
+            rows = rows[core[rows] > starts[rows]]
+        if len(rows):  # longer runs of marks
+            last = np.maximum.accumulate(np.where(_MARK[buf], np.int64(-1), np.arange(len(buf))))
+            core[rows] = np.maximum(last[core[rows] - 1] + 1, starts[rows])
         letter = _ALNUM[buf[core - 1]] | (latin[core - 1] & ~as_is)
         two = (core > starts) & (core < ends) & letter & ~special
         at = np.arange(len(starts)) + np.cumsum(two) - two
@@ -278,10 +336,12 @@ class WordEncoder:
         """How each piece is encoded: small letters may skip the normalizer and the pre-tokenizer."""
         kind = np.where(ends - starts >= LONG_BYTES, LONG, OTHER)
         if self.plain and self.suffix and len(starts):
-            letter = _SMALL[buf] | (buf == 0xC3)
-            letter[1:] |= (buf[:-1] == 0xC3) & _SMALL_LATIN[buf[1:]]
-            sums = np.concatenate([[0], np.cumsum(letter, dtype=np.int32)])
-            kind[(sums[ends] - sums[starts] == ends - starts) & (kind != LONG)] = LETTERS
+            size = ends - starts
+            at = _laid_out(starts, size)
+            letter = _SMALL[buf[at]] | (buf[at] == 0xC3) | ((buf[np.maximum(at - 1, 0)] == 0xC3) & _SMALL_LATIN[buf[at]])
+            sums = np.concatenate([[0], np.cumsum(letter)])
+            upto = np.cumsum(size)
+            kind[(sums[upto] - sums[upto - size] == size) & (kind != LONG)] = LETTERS
         return kind
 
     def _split(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -293,7 +353,9 @@ class WordEncoder:
         """Ids of pieces of small letters: joined by spaces, they cost one call; a token with the suffix ends each."""
         out: list[bytes] = []
         for at in range(0, len(pieces), AT_ONCE):
-            text = b" ".join(pieces[at : at + AT_ONCE]).decode("latin-1").translate(BYTE_SYMBOLS)
+            text = b" ".join(pieces[at : at + AT_ONCE]).decode("latin-1")
+            for char, symbol in _LETTER_SYMBOLS.items():
+                text = text.replace(char, symbol)
             ids = np.array(self.ending.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             out += self._split(ids, np.diff(np.flatnonzero(self.ends_piece[ids]), prepend=-1))
         return out

@@ -16,11 +16,35 @@ import zstandard
 MAGIC = b"WVMATRX1"
 #: Bits in a block, the unit of compression and of the rank directory.
 BLOCK_BITS = 1 << 16
+#: Tokens that are parted at once.
+PART = 1 << 15
 _HEADER = np.dtype([("tokens", "<u8"), ("docs", "<u8"), ("planes", "<u4"), ("block", "<u4")])
 _DOC = np.dtype([("known", "u1"), ("id", "<i8"), ("tokens", "<u8")])
 _ENTRY = np.dtype([("ones", "<u8"), ("end", "<u8")])
 
 
+def _parted(level: np.ndarray, bit: np.ndarray, zeros: int) -> np.ndarray:
+    """Stably, those without the bit first; by parts, since the indexes of a part fit the cache."""
+    out, low, high = np.empty_like(level), 0, zeros
+    for at in range(0, len(level), PART):
+        part, flags = level[at : at + PART], bit[at : at + PART]
+        clear, ones = np.flatnonzero(~flags), np.flatnonzero(flags)
+        out[low : low + len(clear)], out[high : high + len(ones)] = part[clear], part[ones]
+        low, high = low + len(clear), high + len(ones)
+    return out
+
+
+def _unparted(level: np.ndarray, bit: np.ndarray, zeros: int) -> np.ndarray:
+    """What ``_parted`` was given."""
+    out, low, high = np.empty_like(level), 0, zeros
+    for at in range(0, len(level), PART):
+        part, flags = out[at : at + PART], bit[at : at + PART]
+        clear, ones = np.flatnonzero(~flags), np.flatnonzero(flags)
+        part[clear], part[ones] = level[low : low + len(clear)], level[high : high + len(ones)]
+        low, high = low + len(clear), high + len(ones)
+    return out
+
+
 def encode_file(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, counts: np.ndarray) -> bytes:
     """The file of the tokens ``ids`` of documents with ``counts`` tokens each; ``known`` is false for a null id."""
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
@@ -38,7 +62,7 @@ def encode_file(ids: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, counts:
             entries.append((ones, end))
             ones += int(np.bitwise_count(raw).sum(dtype=np.int64))
         zeros.append(len(level) - ones)
-        level = np.concatenate([level.compress(~bit), level.compress(bit)])
+        level = _parted(level, bit, zeros[-1])
     docs = np.empty(len(counts), _DOC)
     docs["known"], docs["id"], docs["tokens"] = known, doc_ids, counts
     head = np.array([(len(ids), len(counts), planes, BLOCK_BITS)], _HEADER)
@@ -83,10 +107,8 @@ class TokenFile:
         out = np.zeros(self.n, np.uint16 if self.planes <= 16 else np.uint32)
         for plane in reversed(range(self.planes) if self.n else []):
             bit, z = self._bits(plane), int(self.zeros[plane])
-            before = np.empty_like(out)
-            before[np.flatnonzero(~bit)] = out[:z]
-            before[np.flatnonzero(bit)] = out[z:] | out.dtype.type(1 << (self.planes - 1 - plane))
-            out = before
+            out[z:] |= out.dtype.type(1 << (self.planes - 1 - plane))
+            out = _unparted(out, bit, z)
         return out
 
     def _rank1(self, plane: int, i: int) -> int:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sketchloom.llm import bpe, token_files
+from sketchloom.llm import bpe, token_files, wavelet
 from sketchloom.llm.queries import queries, tokenizer_path
 from sketchloom.llm.wavelet import TokenFile, encode_file
 
@@ -58,6 +58,25 @@ def test_forgetting_changes_nothing(library, small, monkeypatch):
         assert ids_of(fresh, [r.text]) == [library.encode(r.text, add_special_tokens=False).ids]
 
 
+def test_frequent_pieces_are_found_by_hash(library, small, monkeypatch):
+    texts = [r.text for r in small.limit(60).collect()] * 2
+    fresh, asked = bpe.WordEncoder(PATH), []
+    packed = bpe.WordEncoder._packed
+    monkeypatch.setattr(bpe.WordEncoder, "_packed", lambda self, buf, starts, ends: asked.append(len(starts)) or packed(self, buf, starts, ends))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(fresh, texts) == ids_of(fresh, texts) == want
+    assert asked[0] > 100 and sum(asked[1:]) < asked[0] / 10  # but for pieces that share a place of the table
+
+
+@pytest.mark.parametrize(("bits", "most"), [(1, 1 << 21), (18, 20), (3, 20)])
+def test_small_tables_change_nothing(library, small, monkeypatch, bits, most):
+    monkeypatch.setattr(bpe, "TABLE_BITS", bits)
+    monkeypatch.setattr(bpe, "TABLE_IDS", most)
+    fresh = bpe.WordEncoder(PATH)
+    for r in small.limit(30).collect():
+        assert ids_of(fresh, [r.text, "x x", r.text]) == [e.ids for e in library.encode_batch([r.text, "x x", r.text], add_special_tokens=False)]
+
+
 def test_tree_concatenation(encoder, library, monkeypatch):
     monkeypatch.setattr(bpe, "LONG_BYTES", 16)
     random.seed(4)
@@ -152,6 +171,15 @@ def test_wavelet_matrix(ids, spread):
         file.occurrence(60_000, 0)
 
 
+def test_parts_of_any_size(monkeypatch):
+    ids = np.random.default_rng(5).integers(0, 300, 1000).astype(np.uint16)
+    whole = encode_file(ids, np.arange(1), np.ones(1, bool), np.array([1000]))
+    for part in (1, 7, 999, 1000):
+        monkeypatch.setattr(wavelet, "PART", part)
+        assert encode_file(ids, np.arange(1), np.ones(1, bool), np.array([1000])) == whole
+        assert (TokenFile(whole).ids() == ids).all()
+
+
 def test_many_blocks():
     x = np.random.default_rng(0).zipf(1.3, 200_000) % 49_408
     file = TokenFile(encode_file(x, np.array([1]), np.array([True]), np.array([len(x)])))
